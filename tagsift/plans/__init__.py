@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("lists",)
+_MODULES = ("lists", "corpus")
 
 
 def _load():
