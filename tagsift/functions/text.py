@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Characters Python's str.isspace() accepts, as a Java regex class: Java's \s
-# plus the information separators U+001C..U+001F, U+0085 and the Unicode
-# separator categories (Zs, Zl, Zp).
-WS_CLASS = r"[\s\x{1c}-\x{1f}\x{85}\p{Z}]"
+# Characters Python's str.isspace() accepts, as a regex class that Java and
+# RE2 read the same way: the ASCII controls TAB..CR, the information
+# separators U+001C..U+001F, U+0085 and the Unicode separators (Zs, Zl, Zp).
+WS_CLASS = r"[\t\n\x{0B}\f\r\x{1C}-\x{1F}\x{85}\p{Z}]"
 # "Word" token: at least one letter or digit.
 WORD_RE = r"[\p{L}\p{N}]"
 
@@ -38,12 +38,12 @@ def unescape_text(text) -> Column:
 
 def normalize_space(s) -> Column:
     """FN-06: runs of (Python) whitespace -> one space, trimmed."""
-    return F.regexp_replace(F.regexp_replace(_c(s), WS_CLASS + "+", " "), r"^ | $", "")
+    return F.trim(F.regexp_replace(_c(s), WS_CLASS + "+", " "))
 
 
 def span_text(text, start, end) -> Column:
     """FN-03: text[start:end] with 0-based, end-exclusive code-point offsets."""
-    return F.substring(_c(text), _c(start) + 1, _c(end) - _c(start))
+    return _c(text).substr(_c(start) + 1, _c(end) - _c(start))
 
 
 def word_positions(tokens) -> Column:
@@ -52,6 +52,35 @@ def word_positions(tokens) -> Column:
     return F.filter(idx, lambda x: x.isNotNull())
 
 
+def token_mask(s) -> Column:
+    """One character per space-separated token of a normalised string: 'W' word, '.' other.
+
+    Two whole-string regex passes (JVM-side, no per-token lambda): tokens
+    without letters or digits become '.', then tokens with one become 'W'.
+    """
+    m = F.regexp_replace(_c(s), r"(?<![^ ])[^ \p{L}\p{N}]+(?![^ ])", ".")
+    m = F.regexp_replace(m, r"[^ ]*[\p{L}\p{N}][^ ]*", "W")
+    return F.replace(m, F.lit(" "), F.lit(""))
+
+
+def _tokens_for_words(mask: Column, n: int) -> Column:
+    """Number of leading mask characters up to and including the n-th 'W' (0 if fewer words)."""
+    return F.length(F.regexp_extract(mask, r"^(?:\.*W){%d}" % n, 0))
+
+
+def words_cut(s, mask, n: int, from_end: bool) -> tuple[Column, Column]:
+    """(kept tokens joined, enough words?) for a normalised string and its token mask.
+
+    Keeps the tokens up to and including the n-th word (from the end with
+    ``from_end``), or all tokens when there are fewer than n words.
+    """
+    t = F.split(_c(s), " ")
+    k = _tokens_for_words(F.reverse(_c(mask)) if from_end else _c(mask), n)
+    keep = F.when(k > 0, k).otherwise(F.size(t))
+    first = F.size(t) - keep + 1 if from_end else F.lit(1)
+    return F.array_join(F.slice(t, first, keep), " "), k > 0
+
+
 def first_words(s, n: int) -> Column:
     """FN-08: the tokens of a normalised string up to and including its n-th word token.
 
@@ -61,8 +90,8 @@ def first_words(s, n: int) -> Column:
     if n <= 0:
         return F.lit("")
     t = F.split(_c(s), " ")
-    cut = F.coalesce(F.get(word_positions(t), n - 1) + 1, F.size(t))
-    return F.array_join(F.slice(t, F.lit(1), cut), " ")
+    k = _tokens_for_words(token_mask(s), n)
+    return F.array_join(F.slice(t, F.lit(1), F.when(k > 0, k).otherwise(F.size(t))), " ")
 
 
 def last_words(s, n: int) -> Column:
@@ -70,8 +99,15 @@ def last_words(s, n: int) -> Column:
     if n <= 0:
         return F.lit("")
     t = F.split(_c(s), " ")
-    first = F.coalesce(F.get(F.reverse(word_positions(t)), n - 1), F.lit(0)) + 1
-    return F.array_join(F.slice(t, first, F.size(t) - first + 1), " ")
+    k = _tokens_for_words(F.reverse(token_mask(s)), n)
+    keep = F.when(k > 0, k).otherwise(F.size(t))
+    return F.array_join(F.slice(t, F.size(t) - keep + 1, keep), " ")
+
+
+def has_words(s, n: int, from_end: bool = False) -> Column:
+    """True when a normalised string has at least n word tokens."""
+    m = token_mask(s)
+    return _tokens_for_words(F.reverse(m) if from_end else m, n) > 0
 
 
 def parse_tag(tag) -> tuple[Column, Column]:

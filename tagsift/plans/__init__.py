@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("lists", "corpus")
+_MODULES = ("lists", "corpus", "context")
 
 
 def _load():

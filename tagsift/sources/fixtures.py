@@ -121,6 +121,35 @@ SELECT doc_id, i AS tok_no, s AS start,
 FROM z WHERE (i + doc_id) % 5 = 0 AND length(word) > 0
 """
 
+# Tags over whole documents (not only a leading part): every space token with
+# (token number + doc_id) % 5 = 0 is a mention; spans of documents with
+# doc_id % 17 = 0 run one character too far at every 10th token, so the
+# quality gate has work.  Same type codes and identifiers as F2.
+_TAG_FULL_SPARK = """
+WITH w AS (SELECT doc_id, split(text, ' ') AS ws FROM {documents}),
+t AS (SELECT doc_id, pos + 1 AS i, word FROM w LATERAL VIEW posexplode(ws) p AS pos, word),
+z AS (SELECT doc_id, i, word,
+             coalesce(sum(length(word) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s
+      FROM t)
+SELECT doc_id, CAST(i AS INT) AS tok_no, CAST(s AS INT) AS start,
+       CAST(s + length(word) - 1 + CASE WHEN doc_id % 17 = 0 AND i % 10 = 0 THEN 1 ELSE 0 END AS INT) AS stop,
+       CASE i % 6 WHEN 0 THEN 9606 WHEN 1 THEN -1 WHEN 2 THEN -2 WHEN 3 THEN -26 WHEN 4 THEN -21 ELSE 0 END AS type,
+       'id' || CAST(i % 50 AS STRING) AS identifier
+FROM z WHERE (i + doc_id) % 5 = 0 AND length(word) > 0
+"""
+_TAG_FULL_DUCK = """
+WITH w AS (SELECT doc_id, string_split(text, ' ') AS ws FROM documents),
+t AS (SELECT doc_id, unnest(ws) AS word, unnest(generate_series(1, len(ws))) AS i FROM w),
+z AS (SELECT doc_id, i, word,
+             coalesce(sum(length(word) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s
+      FROM t)
+SELECT doc_id, CAST(i AS INT) AS tok_no, CAST(s AS INT) AS start,
+       CAST(s + length(word) - 1 + CASE WHEN doc_id % 17 = 0 AND i % 10 = 0 THEN 1 ELSE 0 END AS INT) AS stop,
+       CASE i % 6 WHEN 0 THEN 9606 WHEN 1 THEN -1 WHEN 2 THEN -2 WHEN 3 THEN -26 WHEN 4 THEN -21 ELSE 0 END AS type,
+       'id' || CAST(i % 50 AS STRING) AS identifier
+FROM z WHERE (i + doc_id) % 5 = 0 AND length(word) > 0
+"""
+
 _TOKEN_TAG_DUCK = """
 WITH w AS (SELECT doc_id, string_split(text, ' ') AS ws FROM documents),
 t AS (SELECT doc_id, unnest(range(1, least(len(ws), 30) + 1)) AS i FROM w),
@@ -170,6 +199,7 @@ _SHARED = {
 SPARK_SQL = dict(_SHARED)
 SPARK_SQL.update({
     "fx_tag": _TAG_SPARK,
+    "fx_tag_full": _TAG_FULL_SPARK,
     "fx_token_tag": _TOKEN_TAG_SPARK,
     "fx_word": _WORD_SPARK,
     "fx_logit": _LOGIT_SPARK,
@@ -178,6 +208,7 @@ SPARK_SQL.update({
 DUCK_SQL = {k: _PLACEHOLDER.sub(lambda m: m.group(1), v) for k, v in _SHARED.items()}
 DUCK_SQL.update({
     "fx_tag": _TAG_DUCK,
+    "fx_tag_full": _TAG_FULL_DUCK,
     "fx_token_tag": _TOKEN_TAG_DUCK,
     "fx_word": _WORD_DUCK,
     "fx_logit": _LOGIT_DUCK,
