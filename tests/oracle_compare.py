@@ -30,6 +30,13 @@ def duck_connection(sf_dir: str):
 def _norm(v):
     if v is None:
         return None
+    if not isinstance(v, (list, tuple, dict, np.ndarray)) and not hasattr(v, "asDict"):
+        try:
+            import pandas as pd
+            if pd.isna(v):
+                return None
+        except (TypeError, ValueError):
+            pass
     if isinstance(v, (float, np.floating)):
         if math.isnan(v):
             return "nan"
