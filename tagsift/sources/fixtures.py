@@ -150,6 +150,30 @@ SELECT doc_id, CAST(i AS INT) AS tok_no, CAST(s AS INT) AS start,
 FROM z WHERE (i + doc_id) % 5 = 0 AND length(word) > 0
 """
 
+# Vocabulary lines for WordPiece (TOK-05): special tokens, a..z, ##a..##z, the
+# words seen at least 20 times, and '##' + the last two letters of those words.
+# line_no is the line number; duplicate lines are possible (a later one wins).
+_VOCAB_SPARK = """
+WITH t AS (SELECT explode(split(regexp_replace(lower(text), '[^a-z]+', ' '), ' ')) AS word FROM {documents}),
+w AS (SELECT word, count(*) AS n FROM t WHERE word <> '' GROUP BY word),
+l AS (SELECT 0 AS grp, pos AS ord, tok AS token FROM (SELECT posexplode(array('[PAD]', '[UNK]', '[CLS]', '[SEP]', '[MASK]', '[unused1]')) AS (pos, tok))
+      UNION ALL SELECT 1, c, chr(c) FROM (SELECT explode(sequence(97, 122)) AS c)
+      UNION ALL SELECT 2, c, '##' || chr(c) FROM (SELECT explode(sequence(97, 122)) AS c)
+      UNION ALL SELECT 3, 0, word FROM w WHERE n >= 20
+      UNION ALL SELECT DISTINCT 4, 0, '##' || right(word, 2) FROM w WHERE n >= 20 AND length(word) >= 2)
+SELECT token, CAST(row_number() OVER (ORDER BY grp, ord, token) - 1 AS INT) AS line_no FROM l
+"""
+_VOCAB_DUCK = """
+WITH t AS (SELECT unnest(string_split(regexp_replace(lower(text), '[^a-z]+', ' ', 'g'), ' ')) AS word FROM documents),
+w AS (SELECT word, count(*) AS n FROM t WHERE word <> '' GROUP BY word),
+l AS (SELECT 0 AS grp, CAST(i - 1 AS INTEGER) AS ord, ['[PAD]', '[UNK]', '[CLS]', '[SEP]', '[MASK]', '[unused1]'][i] AS token FROM range(1, 7) r(i)
+      UNION ALL SELECT 1, CAST(c AS INTEGER), chr(CAST(c AS INTEGER)) FROM range(97, 123) r(c)
+      UNION ALL SELECT 2, CAST(c AS INTEGER), '##' || chr(CAST(c AS INTEGER)) FROM range(97, 123) r(c)
+      UNION ALL SELECT 3, 0, word FROM w WHERE n >= 20
+      UNION ALL SELECT DISTINCT 4, 0, '##' || right(word, 2) FROM w WHERE n >= 20 AND length(word) >= 2)
+SELECT token, CAST(row_number() OVER (ORDER BY grp, ord, token) - 1 AS INT) AS line_no FROM l
+"""
+
 _TOKEN_TAG_DUCK = """
 WITH w AS (SELECT doc_id, string_split(text, ' ') AS ws FROM documents),
 t AS (SELECT doc_id, unnest(range(1, least(len(ws), 30) + 1)) AS i FROM w),
@@ -200,6 +224,7 @@ SPARK_SQL = dict(_SHARED)
 SPARK_SQL.update({
     "fx_tag": _TAG_SPARK,
     "fx_tag_full": _TAG_FULL_SPARK,
+    "fx_vocab_line": _VOCAB_SPARK,
     "fx_token_tag": _TOKEN_TAG_SPARK,
     "fx_word": _WORD_SPARK,
     "fx_logit": _LOGIT_SPARK,
@@ -209,6 +234,7 @@ DUCK_SQL = {k: _PLACEHOLDER.sub(lambda m: m.group(1), v) for k, v in _SHARED.ite
 DUCK_SQL.update({
     "fx_tag": _TAG_DUCK,
     "fx_tag_full": _TAG_FULL_DUCK,
+    "fx_vocab_line": _VOCAB_DUCK,
     "fx_token_tag": _TOKEN_TAG_DUCK,
     "fx_word": _WORD_DUCK,
     "fx_logit": _LOGIT_DUCK,
