@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("lists", "corpus", "context", "metrics", "features", "textstats")
+_MODULES = ("lists", "corpus", "context", "metrics", "features", "textstats", "qa")
 
 
 def _load():
