@@ -135,6 +135,37 @@ def tokenize_texts(texts: DataFrame, key: str, cols, pieces: DataFrame, lower: b
                              for c in cols for v in values])
 
 
+def token_rows(texts: DataFrame, key: str, cols, lower: bool = False, carry=()) -> DataFrame:
+    """Basic tokens of several text columns as rows: (key, *carry, part, pos, word); part = column number."""
+    parts = F.array(*[F.struct(F.lit(i).alias("part"), F.col(c).alias("txt")) for i, c in enumerate(cols)])
+    x = texts.select(key, *carry, F.explode(parts).alias("_p"))
+    return x.select(key, *carry, F.col("_p.part").alias("part"),
+                    F.posexplode(basic_tokens(F.col("_p.txt"), lower)).alias("pos", "word"))
+
+
+def gather_pieces(rows: DataFrame, pieces: DataFrame, key: str, cols, value: str = "ids", carry=()) -> DataFrame:
+    """Join token rows to the word -> pieces table and gather each key's pieces per column, in order.
+
+    One shuffle on the word for the join and one on the key for the gather.
+    """
+    j = rows.join(pieces.select("word", value), "word", "left")
+    g = j.groupBy(key).agg(*[F.first(c).alias(c) for c in carry],
+                           F.array_sort(F.collect_list(F.struct("part", "pos", value))).alias("_p"))
+    out = [key, *carry]
+    for i, c in enumerate(cols):
+        sel = F.filter("_p", _part_is(i))
+        out.append(F.flatten(F.transform(sel, _field(value))).alias(f"{c}_{value}"))
+    return g.select(*out)
+
+
+def _part_is(i):
+    return lambda x: x["part"] == i
+
+
+def _field(v):
+    return lambda x: x[v]
+
+
 def span_layout(left, span, right, max_seq_length: int, replace_span=None,
                 cls=CLS, sep=SEP, pad=PAD) -> Column:
     """FEAT-01: [CLS] + left cut / padded to L/2-1 + span (or marker) + right, chopped to L-1, [SEP], padded.
