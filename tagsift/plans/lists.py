@@ -255,3 +255,23 @@ SELECT m.doc_id, m.ann_id, m.name, m.s_type FROM mention m
 LEFT JOIN gb ON m.name = gb.name LEFT JOIN lb ON m.name = lb.name AND m.doc_id = lb.doc_id
 WHERE NOT coalesce(lb.l_block, gb.g_block, false)""",
 }
+
+
+def _verbose_oracle() -> str:
+    qs = ", ".join(f"pow(10, s_{c} - m) / den AS q_{c}" for c in ev.CLASSES)
+    best = "greatest(" + ", ".join(f"q_{c}" for c in ev.CLASSES) + ")"
+    pick = "CASE " + " ".join(f"WHEN q_{c} = {best} THEN '{c}'" for c in ev.CLASSES) + " END"
+    val = "CASE " + " ".join(f"WHEN q_{c} = {best} THEN q_{c}" for c in ev.CLASSES) + " END"
+    den = " + ".join(f"coalesce(pow(10, s_{c} - m), 0)" for c in ev.CLASSES)
+    return _le("WHERE s_type = 'dis'") + f""",
+dq AS (SELECT *, {den} AS den FROM mx),
+qq AS (SELECT doc_id, name, s_type, {qs} FROM dq),
+tp AS (SELECT doc_id, name, s_type, list(p ORDER BY ann_id, p) AS target_probs FROM fx_prediction_long
+       WHERE class = s_type AND s_type = 'dis' GROUP BY doc_id, name, s_type)
+SELECT le.log_prob, le."count", le.doc_id, le.name, le.type, {pick} AS most_likely, {val} AS most_likely_prob,
+       tp.target_probs
+FROM le JOIN qq ON le.doc_id = qq.doc_id AND le.name = qq.name AND le.type = qq.s_type
+JOIN tp ON le.doc_id = tp.doc_id AND le.name = tp.name AND le.type = tp.s_type"""
+
+
+ORACLE["local_evidence_verbose"] = _verbose_oracle()
