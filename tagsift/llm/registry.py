@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from tagsift.llm import queries_basic
+from tagsift.llm import queries_basic, queries_tokens
 
-QUERIES = {**queries_basic.QUERIES}
-ORACLE = {**queries_basic.ORACLE}
+_MODULES = (queries_basic, queries_tokens)
+QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+ORACLE = {k: v for m in _MODULES for k, v in m.ORACLE.items()}
