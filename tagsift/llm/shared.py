@@ -29,6 +29,11 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bind(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once a row, however often ``use`` names it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def space_words(text: Column) -> Column:
     """Array of the words of a text (``[^\\x20\\x09-\\x0D]+``); null and empty texts have none."""
     parts = F.split(F.coalesce(text, F.lit("")), f"[{SPACE_CHARS}]+")
