@@ -1,11 +1,24 @@
-"""Query op6 (quality rules)."""
+"""Queries op4 (secret scans) and op6 (quality rules)."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from tagsift.llm import secrets
 from tagsift.llm.quality import MAX_HOST_RATE, judge
 from tagsift.llm.shared import table
 
 
+def op4_secrets(spark, sf_dir):
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    base = F.filter("spans", lambda s: s["kind"] < secrets.KINDS.index("markov"))
+    kinds = F.transform("spans", lambda s: s["kind"])
+    counts = [(F.size("spans") - F.size(F.array_remove(kinds, i))).cast("long").alias(f"n_{k}")
+              for i, k in enumerate(secrets.KINDS)]
+    return found.select("doc.doc_id", *counts, F.sha2(secrets.span_text(base), 256).alias("base_sha256"),
+                        secrets.span_text(F.col("spans")).alias("spans"))
+
+
 def op6_quality(spark, sf_dir):
     judged = judge(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return judged.select("doc.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -46,5 +59,5 @@ OP6_SQL = "WITH" + JUDGED_SQL.format(docs="documents", rate=MAX_HOST_RATE) + """
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, host_failed, kept FROM q_j
 """
 
-QUERIES = {"op6_quality": op6_quality}
+QUERIES = {"op4_secrets": op4_secrets, "op6_quality": op6_quality}
 ORACLE = {"op6_quality": OP6_SQL}

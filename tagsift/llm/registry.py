@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tagsift.llm import queries_basic, queries_bench, queries_rules, queries_tokens
+from tagsift.llm import queries_basic, queries_bench, queries_rules, queries_text, queries_tokens
 
-_MODULES = (queries_basic, queries_bench, queries_rules, queries_tokens)
+_MODULES = (queries_basic, queries_bench, queries_rules, queries_text, queries_tokens)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLE = {k: v for m in _MODULES for k, v in m.ORACLE.items()}
