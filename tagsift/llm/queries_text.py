@@ -1,13 +1,18 @@
-"""Query op10 (language identification)."""
+"""Queries op2 (near-duplicates) and op10 (language identification)."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from tagsift.llm.langid import identify, learn
+from tagsift.llm.neardup import near_duplicates
 from tagsift.llm.shared import table
 
 
+def op2_near_dedup(spark, sf_dir):
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_language(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
@@ -15,5 +20,5 @@ def op10_language(spark, sf_dir):
     return out.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {"op10_language": op10_language}
+QUERIES = {"op2_near_dedup": op2_near_dedup, "op10_language": op10_language}
 ORACLE = {}

@@ -12,10 +12,12 @@ from tests.conftest import SMALL
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 
+TOK = Tokenizer.from_file(PATH)
+TOK.encode_special_tokens = True
+
+
 def plain_ids(text):
-    tok = Tokenizer.from_file(PATH)
-    tok.encode_special_tokens = True
-    return [*tok.encode(text or "", add_special_tokens=False).ids, 1]
+    return [*TOK.encode(text or "", add_special_tokens=False).ids, 1]
 
 
 def check_pieces(pieces, texts):
@@ -71,5 +73,5 @@ def test_cases(spark):
 def test_encoder_with_small_caches(monkeypatch):
     monkeypatch.setattr("tagsift.llm.tokens.CACHE_PARTS", 3)
     enc = PieceEncoder(PATH)
-    for text in ["a b c d e f", " a  b\n c", "a b c d e f g h", "a", ""]:
+    for text in ["a b c d e f", " a  b\n c", "a b c d e f g h", "a", "", "don't 'start we'll,ok e\u0301t\u0301e abc\u043c\u0438\u0440 x12 !,a."]:
         assert np.frombuffer(enc.encode([text])[0], dtype="<u4").tolist() == plain_ids(text)[:-1]
