@@ -1,8 +1,9 @@
 """Token ids of texts by a byte-level BPE vocabulary file, with a bounded cache of text pieces.
 
 Byte-level BPE first cuts a text by a pattern and merges inside each cut.  No cut spans from a
-character that isn't white space into one that is, and the pattern never looks back, so a text can be
-taken apart before every run of white space and the ids of the parts put together again.  Most parts
+character that isn't white space into one that is, nor from a letter into a sign that isn't one, and
+the pattern never looks back, so a text can be taken apart before every run of white space and after
+every run of letters and the ids of the parts put together again.  Most parts
 (a space and a word) come again and again; their ids are kept in two generations of a dictionary, so
 that frequent parts stay and memory is bounded.
 """
@@ -17,8 +18,10 @@ import numpy as np
 
 # White space of Unicode (property White_Space), as the vocabulary's cutting pattern takes it.
 _WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-_PARTS = re.compile(f"[{_WS}]*[^{_WS}]+|[{_WS}]+")
-CACHE_PARTS = 150_000          # per generation
+# Letters of which a run may end before an ASCII sign that isn't a letter: a cut always lies there.
+_LETTERS = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f"
+_PARTS = re.compile(f"[{_WS}]*[{_LETTERS}]+(?![^\x00-\x40\x5b-\x60\x7b-\x7f])|[{_WS}]*[^{_WS}]+|[{_WS}]+")
+CACHE_PARTS = 300_000          # per generation
 CACHE_PART_CHARS = 64          # longer parts aren't kept
 
 
