@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from tagsift.llm import queries_basic, queries_bench, queries_rules, queries_text, queries_tokens
+import corpus_pipeline
+from tagsift.llm import queries_basic, queries_bench, queries_chat, queries_rules, queries_text, queries_tokens
 
-_MODULES = (queries_basic, queries_bench, queries_rules, queries_text, queries_tokens)
-QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+_MODULES = (queries_basic, queries_bench, queries_chat, queries_rules, queries_text, queries_tokens)
+QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()} | {"pipeline": corpus_pipeline.run}
 ORACLE = {k: v for m in _MODULES for k, v in m.ORACLE.items()}
