@@ -93,11 +93,6 @@ def local_evidence(pred_long: DataFrame, classes: Sequence[str] = CLASSES,
     return out.select(*cols)
 
 
-def evidence_probability(local: DataFrame) -> DataFrame:
-    """AGG-04 ``-p`` output form: the posterior itself instead of its log10."""
-    return local.withColumn("prob", F.pow(F.lit(10.0), F.col("log_prob")))
-
-
 def global_evidence(local: DataFrame, min_count: int = 2, threshold: float = 0.5,
                     type_thresholds: dict | None = None, protected=PROTECTED_NAMES,
                     types: Sequence[str] | None = None, audit: bool = False) -> DataFrame:
@@ -121,7 +116,3 @@ def global_evidence(local: DataFrame, min_count: int = 2, threshold: float = 0.5
     return g.select((F.col("avg_prob") * F.col("count")).alias("expected_errors"),
                     "count", "avg_prob", "name", "type")
 
-
-def check_unique_global(gprob: DataFrame) -> DataFrame:
-    """SRC-10: the (name, type) pairs that occur more than once (must be empty)."""
-    return gprob.groupBy("name", "type").count().where(F.col("count") > 1)

@@ -11,6 +11,8 @@ example's length) and laid out into fixed-length arrays.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
@@ -228,8 +230,10 @@ def pad_to(arr, length: int, value) -> Column:
     return F.concat(_c(arr), F.array_repeat(F.lit(value), F.lit(length) - F.size(_c(arr))))
 
 
-def label_ids(labels: DataFrame, label: str = "label") -> DataFrame:
-    """SRC-12: sorted distinct labels -> 0-based index.  The label list is a small parameter table."""
-    from pyspark.sql import Window
-    d = labels.select(F.col(label).alias("label")).distinct()
-    return d.select("label", (F.row_number().over(Window.orderBy("label")) - 1).cast("int").alias("label_id"))
+def label_id(label, classes: Sequence[str]) -> Column:
+    """SRC-12 / FEAT-05: index of a label in the sorted label list (a parameter); an unknown label raises."""
+    names = sorted(classes)
+    if len(set(names)) != len(names):
+        raise ValueError("repeated label")
+    ids = F.create_map(*[x for i, c in enumerate(names) for x in (F.lit(c), F.lit(i))])
+    return F.coalesce(F.try_element_at(ids, F.col(label)), F.raise_error(F.concat(F.lit("unknown label "), F.col(label))).cast("int"))

@@ -26,8 +26,13 @@ def global_decision(gprob: DataFrame, min_doc_count: int = 10, threshold: float
     """FN-13: mark (name, type) globally blocked: count >= min, non-target prob >= threshold, not protected.
 
     The defaults (10 documents, 0.5) are the ones the local-list step uses,
-    which differ from the global list's own 2 documents (Q-02).
+    which differ from the global list's own 2 documents (Q-02).  A (name, type) that stands twice in the
+    table raises (SRC-10).
     """
+    once = gprob.groupBy("name", "type").agg(
+        F.max("count").alias("count"), F.max("avg_prob").alias("avg_prob"), F.count(F.lit(1)).alias("_rows"))
+    gprob = once.select("name", "type", F.when(F.col("_rows") == 1, F.col("count")).otherwise(F.raise_error(
+        F.concat(F.lit("repeated global row: "), "name", F.lit(", "), "type")).cast("long")).alias("count"), "avg_prob")
     return gprob.withColumn(
         "global_block",
         (F.col("count") >= min_doc_count) & (F.col("avg_prob") >= threshold)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tagsift.operators import evidence as ev
 from tagsift.operators import lists as ls
+from tagsift.session import materialized
 from tagsift.sources.fixtures import duck_with, fixture
 
 
@@ -19,6 +20,11 @@ def q_local(spark, sf):
     return ev.local_evidence(predictions(spark, sf), threshold=1.01, min_count=1)
 
 
+def _local_once(spark, sf):
+    """The local evidence, written once: block, allow and global lists all read it."""
+    return materialized(q_local(spark, sf), "local-evidence")
+
+
 def q_local_default(spark, sf):
     """Q-LOCAL with the script defaults: ggp only, posterior < 0.5, >= 2 mentions."""
     return ev.local_evidence(predictions(spark, sf), source_types=["ggp"], threshold=0.5, min_count=2)
@@ -54,13 +60,13 @@ def q_gprob(spark, sf):
 
 def q_lblock(spark, sf):
     """Q-LBLOCK: local block list, ratio 1000, che and ggp."""
-    local = q_local(spark, sf)
+    local = _local_once(spark, sf)
     return ls.local_block_list(local, ev.global_evidence(local, 2, 0.0, types=["che", "ggp"]),
                                ratio=1000.0, types=["che", "ggp"])
 
 
 def _allow(spark, sf, ratio):
-    local = q_local(spark, sf)
+    local = _local_once(spark, sf)
     return ls.local_allow_list(local, ev.global_evidence(local, 2, 0.0, types=["che", "ggp"]),
                                ratio=ratio, global_prob=0.3, types=["ggp"])
 
@@ -77,13 +83,13 @@ def q_lallow_r1e3(spark, sf):
 
 def q_lblock_diff(spark, sf):
     """FN-16 `diff` ranking on the block list."""
-    local = q_local(spark, sf)
+    local = _local_once(spark, sf)
     return ls.local_block_list(local, ev.global_evidence(local, 2, 0.0, types=["che", "ggp"]),
                                ratio=1000.0, function="diff", types=["che", "ggp"])
 
 
 def _lists(spark, sf):
-    local = q_local(spark, sf)
+    local = _local_once(spark, sf)
     gprob = ev.global_evidence(local, 2, 0.0, types=["che", "ggp"])
     block = ls.local_block_list(local, gprob, ratio=1000.0, types=["che", "ggp"])
     allow = ls.local_allow_list(local, gprob, ratio=1e15, global_prob=0.3, types=["ggp"])
@@ -180,7 +186,8 @@ cand AS (SELECT avg_prob * "count" AS expected_errors, "count", avg_prob, name,
          WHERE "count" >= 2 AND avg_prob >= CASE WHEN type = 'dis' THEN 0.85e0 ELSE 0.5e0 END AND """ + _NOT_PROT + ")"
 
 _GPROB = """
-gp AS (SELECT name, type, "count", avg_prob FROM ge WHERE type IN ('che', 'ggp') AND "count" >= 2 AND avg_prob >= 0.0e0),
+gp AS (SELECT name, type, "count", avg_prob FROM ge WHERE type IN ('che', 'ggp') AND "count" >= 2 AND avg_prob >= 0.0e0
+       AND """ + _NOT_PROT + """),
 j AS (SELECT le.name, le.type, le.doc_id, le."count", pow(10, le.log_prob) AS l_p, gp.avg_prob AS g_non,
              1 - gp.avg_prob AS g_p,
              (gp."count" >= 10 AND gp.avg_prob >= 0.5e0 AND """ + _NOT_PROT.replace("name", "gp.name").replace("type", "gp.type") + """) AS gb
@@ -238,7 +245,7 @@ WHERE "count" >= 2 AND avg_prob >= CASE WHEN type = 'dis' THEN 0.85e0 ELSE 0.5e0
     "global_list_typed": _CAND + " SELECT name, type, 't' AS flag FROM cand",
     "global_probabilities": _le() + "," + _GLOBAL + """
 SELECT avg_prob * "count" AS expected_errors, "count", avg_prob, name, type FROM ge
-WHERE type IN ('che', 'ggp') AND "count" >= 2 AND avg_prob >= 0.0e0""",
+WHERE type IN ('che', 'ggp') AND "count" >= 2 AND avg_prob >= 0.0e0 AND """ + _NOT_PROT,
     "local_block": _block_sql(_INV_RATIO),
     "local_block_diff": _block_sql("(1 - l_p) - g_p"),
     "local_allow": _allow_sql("1e15"),

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import functions as F
-
 from tagsift.session import checkpoint_path
 from tagsift.sources.fixtures import fixture
 from tagsift.streaming.running import running_confusion, streaming_local_evidence
@@ -28,13 +26,13 @@ def q_stream_confusion(spark, sf):
 
 
 def q_stream_local_evidence(spark, sf):
-    """ST-02: local evidence from prediction shard files (doc_id mod 4), final state."""
+    """ST-02: local evidence from prediction files of whole documents, two files a batch, final state."""
     run = uuid.uuid4().hex
     src = checkpoint_path(spark, f"st02-src-{run}")
-    p = fixture(spark, sf, "fx_prediction_long").withColumn("shard", F.pmod(F.col("doc_id"), F.lit(N_FILES)))
-    _land(p, src, N_FILES, "shard")
+    p = fixture(spark, sf, "fx_prediction_long")
+    p.repartition("doc_id").write.parquet(src)
     return streaming_local_evidence(spark, src, p.schema, checkpoint_path(spark, f"st02-out-{run}"),
-                                    checkpoint_path(spark, f"st02-ckpt-{run}"), threshold=1.01, min_count=1)
+                                    checkpoint_path(spark, f"st02-ckpt-{run}"), files_per_batch=2, threshold=1.01, min_count=1)
 
 
 QUERIES = {

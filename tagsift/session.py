@@ -9,8 +9,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every session of ours gets.  AQE re-plans joins from runtime sizes
 # (broadcast when the built side is small, skew split when one key is hot) and
@@ -44,18 +45,27 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster the folder is set by whoever runs the job and must be on
-    shared storage; we only read it.  When it is unset (tests, local runs) a
-    fresh folder under /tmp is created and set.
+    On a cluster whoever runs the job sets the folder, on shared storage, and we only read the setting;
+    without it a cluster job stops here.  A local session (tests) gets a fresh folder under /tmp.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="tagsift-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
     return d
 
 
+def materialized(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once into the shared checkpoint folder and read it back (for rows that several branches use)."""
+    path = checkpoint_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def checkpoint_path(spark: SparkSession, name: str) -> str:
     """A path in the shared checkpoint folder for a written intermediate table."""
     return os.path.join(ensure_checkpoint_dir(spark), name)

@@ -20,10 +20,12 @@ _PLACEHOLDER = re.compile(r"\{(" + "|".join(TABLES) + r")\}")
 
 # --- shared texts ----------------------------------------------------------
 
-_PREDICTION_LONG = """
+# One read of the mentions; names hold protected pairs and phrases with determiners too.
+_PREDICTION_MENTION = """
 WITH m AS (
   SELECT l_suppkey AS doc_id, l_orderkey*10 + l_linenumber AS ann_id,
-         'N' || CAST(l_partkey % 40 AS STRING) AS name,
+         CASE l_partkey % 40 WHEN 2 THEN 'insulin' WHEN 10 THEN 'INSULIN' WHEN 7 THEN 'the N7' WHEN 13 THEN 'these other N13'
+              WHEN 21 THEN 'alpha N21' ELSE 'N' || CAST(l_partkey % 40 AS STRING) END AS name,
          CASE (l_partkey % 40) % 4 WHEN 0 THEN 'che' WHEN 1 THEN 'dis' WHEN 2 THEN 'ggp' ELSE 'org' END AS s_type,
          CASE WHEN (l_suppkey*3 + l_partkey % 40) % 10 <= (l_partkey % 40) % 9
               THEN 20.0e0 + l_linenumber ELSE 0.5e0 + l_linenumber/8.0e0 END AS w_target,
@@ -31,20 +33,29 @@ WITH m AS (
          1.0e0 + (l_orderkey % 5)/3.0e0 AS w_c, 2.0e0 AS w_out
   FROM {lineitem}),
 t AS (SELECT *, w_target + w_a + w_b + w_c + w_out AS tot FROM m)
-SELECT doc_id, ann_id, name, s_type, s_type AS class, w_target/tot AS p FROM t
-UNION ALL SELECT doc_id, ann_id, name, s_type, CASE WHEN s_type = 'che' THEN 'dis' ELSE 'che' END, w_a/tot FROM t
-UNION ALL SELECT doc_id, ann_id, name, s_type, CASE WHEN s_type IN ('che','dis') THEN 'ggp' ELSE 'dis' END, w_b/tot FROM t
-UNION ALL SELECT doc_id, ann_id, name, s_type, CASE WHEN s_type = 'org' THEN 'ggp' ELSE 'org' END, w_c/tot FROM t
-UNION ALL SELECT doc_id, ann_id, name, s_type, 'out', w_out/tot FROM t
 """
-
+_OTHER_A = "CASE WHEN s_type = 'che' THEN 'dis' ELSE 'che' END"
+_OTHER_B = "CASE WHEN s_type IN ('che','dis') THEN 'ggp' ELSE 'dis' END"
+_OTHER_C = "CASE WHEN s_type = 'org' THEN 'ggp' ELSE 'org' END"
+_SHARES = (("s_type", "w_target"), (_OTHER_A, "w_a"), (_OTHER_B, "w_b"), (_OTHER_C, "w_c"), ("'out'", "w_out"))
+_PREDICTION_LONG_SPARK = _PREDICTION_MENTION + (
+    "SELECT doc_id, ann_id, name, s_type, class, p FROM t LATERAL VIEW inline(array("
+    + ", ".join(f"named_struct('class', {c}, 'p', {w}/tot)" for c, w in _SHARES) + ")) e AS class, p")
+_PREDICTION_LONG_DUCK = _PREDICTION_MENTION.replace("{lineitem}", "lineitem") + " UNION ALL ".join(
+    f"SELECT doc_id, ann_id, name, s_type, {c} AS class, {w}/tot AS p FROM t" for c, w in _SHARES)
+
+# The lines of a text are the text fields of its corpus line.  Every 7th document arrives a second time
+# in the other source.
 _CORPUS_LINE = """
-SELECT CASE WHEN doc_id % 2 = 0 THEN 0 ELSE 1 END AS source_rank, doc_id AS line_no,
-       CASE WHEN doc_id % 11 = 0 THEN 'DOI:' ELSE 'PMID:' END || CAST(doc_id % 150 AS STRING) || chr(9) || 'Author' || CAST(doc_id % 5 AS STRING)
-       || chr(9) || 'J' || CASE WHEN doc_id % 7 = 0 THEN chr(92) ELSE '' END || source || chr(9)
-       || CASE WHEN doc_id % 13 = 0 THEN '' ELSE '20' || CAST(10 + doc_id % 10 AS STRING) || chr(9) || replace(substring(text, 1, 30), chr(10), ' ')
-              || chr(9) || replace(substring(text, 31, 200), chr(10), ' ') END AS line
-FROM {documents}
+WITH a AS (
+  SELECT doc_id, source, text, CASE WHEN doc_id % 2 = 0 THEN 0 ELSE 1 END AS source_rank, 'J' AS mark FROM {documents}
+  UNION ALL
+  SELECT doc_id, source, text, CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END, 'K' FROM {documents} WHERE doc_id % 7 = 0)
+SELECT source_rank, doc_id AS line_no,
+       CASE WHEN doc_id % 11 = 0 THEN 'DOI:' ELSE 'PMID:' END || CAST(doc_id AS STRING) || chr(9) || 'Author' || CAST(doc_id % 5 AS STRING)
+       || chr(9) || mark || CASE WHEN doc_id % 7 = 0 THEN chr(92) ELSE '' END || source || chr(9)
+       || CASE WHEN doc_id % 13 = 0 THEN '' ELSE '20' || CAST(10 + doc_id % 10 AS STRING) || chr(9) || replace(text, chr(10), chr(9)) END AS line
+FROM a
 """
 
 _EXCLUDED_DOC = "SELECT CAST(doc_id AS STRING) AS doc_id FROM {documents} WHERE doc_id % 29 = 0"
@@ -54,9 +65,12 @@ SELECT l_orderkey AS doc_id, l_linenumber AS line_no, (l_linenumber % 2)*10 AS s
        0 AS type, l_partkey AS serial FROM {lineitem}
 """
 
+# Some serials stand twice; the later line counts.
 _ENTITY = """
 SELECT p_partkey AS serial, CASE p_partkey % 4 WHEN 0 THEN -2 WHEN 1 THEN 9606 WHEN 2 THEN -1 ELSE -26 END AS type,
-       CAST(p_size AS STRING) AS identifier FROM {part} WHERE p_partkey % 10 <> 0
+       CAST(p_size AS STRING) AS identifier, 2*p_partkey AS line_no FROM {part} WHERE p_partkey % 10 <> 0
+UNION ALL
+SELECT p_partkey, -2, CAST(p_size + 1 AS STRING), 2*p_partkey + 1 FROM {part} WHERE p_partkey % 10 = 3
 """
 
 _RANK = """
@@ -100,31 +114,10 @@ FROM {supplier} WHERE s_suppkey % 3 = 0
 
 # --- engine-specific texts -------------------------------------------------
 
-_TAG_DUCK = """
-WITH w AS (SELECT doc_id, string_split(text, ' ') AS ws FROM documents),
-t AS (SELECT doc_id, ws, unnest(range(1, least(len(ws), 40) + 1)) AS i FROM w),
-z AS (SELECT doc_id, i, ws[i] AS word, length(array_to_string(ws[1:i-1], ' ')) + CASE WHEN i > 1 THEN 1 ELSE 0 END AS s FROM t)
-SELECT doc_id, i AS tok_no, s AS start,
-       s + length(word) - 1 + CASE WHEN doc_id % 17 = 0 AND i % 10 = 0 THEN 1 ELSE 0 END AS stop,
-       CASE i % 6 WHEN 0 THEN 9606 WHEN 1 THEN -1 WHEN 2 THEN -2 WHEN 3 THEN -26 WHEN 4 THEN -21 ELSE 0 END AS type,
-       'id' || CAST(i % 50 AS STRING) AS identifier
-FROM z WHERE (i + doc_id) % 5 = 0 AND length(word) > 0
-"""
-_TAG_SPARK = """
-WITH w AS (SELECT doc_id, split(text, ' ') AS ws FROM {documents}),
-t AS (SELECT doc_id, ws, explode(sequence(1, least(size(ws), 40))) AS i FROM w),
-z AS (SELECT doc_id, i, ws[i-1] AS word, length(array_join(slice(ws, 1, i-1), ' ')) + CASE WHEN i > 1 THEN 1 ELSE 0 END AS s FROM t)
-SELECT doc_id, i AS tok_no, s AS start,
-       s + length(word) - 1 + CASE WHEN doc_id % 17 = 0 AND i % 10 = 0 THEN 1 ELSE 0 END AS stop,
-       CASE i % 6 WHEN 0 THEN 9606 WHEN 1 THEN -1 WHEN 2 THEN -2 WHEN 3 THEN -26 WHEN 4 THEN -21 ELSE 0 END AS type,
-       'id' || CAST(i % 50 AS STRING) AS identifier
-FROM z WHERE (i + doc_id) % 5 = 0 AND length(word) > 0
-"""
-
-# Tags over whole documents (not only a leading part): every space token with
+# Tags over whole documents: every space token with
 # (token number + doc_id) % 5 = 0 is a mention; spans of documents with
 # doc_id % 17 = 0 run one character too far at every 10th token, so the
-# quality gate has work.  Same type codes and identifiers as F2.
+# quality gate has work.
 _TAG_FULL_SPARK = """
 WITH w AS (SELECT doc_id, split(text, ' ') AS ws FROM {documents}),
 t AS (SELECT doc_id, pos + 1 AS i, word FROM w LATERAL VIEW posexplode(ws) p AS pos, word),
@@ -176,13 +169,13 @@ SELECT token, CAST(row_number() OVER (ORDER BY grp, ord, token) - 1 AS INT) AS l
 
 _TOKEN_TAG_DUCK = """
 WITH w AS (SELECT doc_id, string_split(text, ' ') AS ws FROM documents),
-t AS (SELECT doc_id, unnest(range(1, least(len(ws), 30) + 1)) AS i FROM w),
+t AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS i FROM w),
 g AS (SELECT doc_id, i, CASE (i + doc_id) % 7 WHEN 0 THEN 'B-ggp' WHEN 1 THEN 'I-ggp' WHEN 2 THEN 'B-che' WHEN 3 THEN 'I-dis' ELSE 'O' END AS gold FROM t)
 SELECT doc_id AS sent_id, i AS pos, gold, CASE WHEN (i*(doc_id + 1)) % 5 = 0 THEN 'O' WHEN (i*(doc_id + 1)) % 9 = 0 THEN 'I-che' ELSE gold END AS pred FROM g
 """
 _TOKEN_TAG_SPARK = """
 WITH w AS (SELECT doc_id, split(text, ' ') AS ws FROM {documents}),
-t AS (SELECT doc_id, explode(sequence(1, least(size(ws), 30))) AS i FROM w),
+t AS (SELECT doc_id, pos + 1 AS i FROM w LATERAL VIEW posexplode(ws) p AS pos, word),
 g AS (SELECT doc_id, i, CASE (i + doc_id) % 7 WHEN 0 THEN 'B-ggp' WHEN 1 THEN 'I-ggp' WHEN 2 THEN 'B-che' WHEN 3 THEN 'I-dis' ELSE 'O' END AS gold FROM t)
 SELECT doc_id AS sent_id, i AS pos, gold, CASE WHEN (i*(doc_id + 1)) % 5 = 0 THEN 'O' WHEN (i*(doc_id + 1)) % 9 = 0 THEN 'I-che' ELSE gold END AS pred FROM g
 """
@@ -206,7 +199,6 @@ SELECT vec_id AS example_id, i - 1 AS pos, CAST(embedding[i-1] AS DOUBLE) AS sta
 """
 
 _SHARED = {
-    "fx_prediction_long": _PREDICTION_LONG,
     "fx_corpus_line": _CORPUS_LINE,
     "fx_excluded_doc": _EXCLUDED_DOC,
     "fx_raw_match": _RAW_MATCH,
@@ -222,7 +214,7 @@ _SHARED = {
 
 SPARK_SQL = dict(_SHARED)
 SPARK_SQL.update({
-    "fx_tag": _TAG_SPARK,
+    "fx_prediction_long": _PREDICTION_LONG_SPARK,
     "fx_tag_full": _TAG_FULL_SPARK,
     "fx_vocab_line": _VOCAB_SPARK,
     "fx_token_tag": _TOKEN_TAG_SPARK,
@@ -232,7 +224,7 @@ SPARK_SQL.update({
 
 DUCK_SQL = {k: _PLACEHOLDER.sub(lambda m: m.group(1), v) for k, v in _SHARED.items()}
 DUCK_SQL.update({
-    "fx_tag": _TAG_DUCK,
+    "fx_prediction_long": _PREDICTION_LONG_DUCK,
     "fx_tag_full": _TAG_FULL_DUCK,
     "fx_vocab_line": _VOCAB_DUCK,
     "fx_token_tag": _TOKEN_TAG_DUCK,

@@ -2,10 +2,9 @@
 
 The reference has no event time, so there is no watermark: ST-01 keeps a
 complete-mode aggregate over at most classes^2 keys; ST-02 processes
-prediction files as they arrive, one micro-batch per file, and writes the
-local evidence of each batch's shards with dynamic partition overwrite, so a
-replayed batch (after a failure) rewrites the same shard partitions instead
-of appending duplicates.  Both keep their state and progress in the shared
+prediction files as they arrive and writes the evidence of each micro-batch
+to a folder of its own, so a replayed batch (after a failure) writes the same
+folder again instead of appending duplicates.  Both keep their state and progress in the shared
 checkpoint folder and run with ``trigger(availableNow=True)``.
 """
 
@@ -30,22 +29,24 @@ def running_confusion(spark: SparkSession, source_dir: str, schema, checkpoint:
 
 
 def streaming_local_evidence(spark: SparkSession, source_dir: str, schema, out_dir: str, checkpoint: str,
-                             shard_col: str = "shard", **evidence_kwargs) -> DataFrame:
-    """ST-02: local evidence built as prediction shard files land; returns the evidence table.
+                             files_per_batch: int = 1, **evidence_kwargs) -> DataFrame:
+    """ST-02: local evidence built as prediction files land; returns the evidence table.
 
-    Each file holds whole documents (files are cut by doc_id), so the
-    evidence of a micro-batch is final for the documents in it.
+    Each file holds whole documents, so the evidence of a micro-batch is final for the documents in it.
+    A batch owns the folder ``batch=<id>`` and overwrites only that: a replay after a failure writes the
+    same rows again, and files of any number and order lose nothing.  If a document lands again in a later
+    file, the rows of its newest batch count.
     """
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source_dir)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source_dir)
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        ev = local_evidence(batch, **evidence_kwargs)
-        shard = batch.select("doc_id", shard_col).distinct()
-        (ev.join(shard, "doc_id")
-           .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-           .partitionBy(shard_col).parquet(out_dir))
+        local_evidence(batch, **evidence_kwargs).write.mode("overwrite").parquet(f"{out_dir}/batch={batch_id}")
 
     q = (stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(out_dir).drop(shard_col)
+    if q.lastProgress is None:        # no file has landed
+        return local_evidence(spark.createDataFrame([], schema), **evidence_kwargs)
+    landed = spark.read.parquet(out_dir)
+    newest = landed.groupBy("doc_id").agg(F.max("batch").alias("batch"))
+    return landed.join(newest, ["doc_id", "batch"]).drop("batch")
