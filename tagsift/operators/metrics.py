@@ -184,37 +184,37 @@ def pr_summary(curve: DataFrame) -> DataFrame:
 
 # --- chunk-level evaluation (EV-09, WIN-06) -------------------------------------
 
-def _chunk_flags(df: DataFrame, which: str) -> DataFrame:
-    p, t = parse_tag(F.col(which))
-    w = Window.partitionBy("sent_id").orderBy("pos")
-    df = df.withColumn(f"{which}_p", p).withColumn(f"{which}_t", t)
-    pp = F.coalesce(F.lag(f"{which}_p").over(w), F.lit("O"))
-    pt = F.coalesce(F.lag(f"{which}_t").over(w), F.lit(""))
-    cp, ct = F.col(f"{which}_p"), F.col(f"{which}_t")
-    end = ((pp == "E") | (pp == "S")
-           | ((pp == "B") & cp.isin("B", "S", "O")) | ((pp == "I") & cp.isin("B", "S", "O"))
-           | ((pp != "O") & (pp != ".") & (pt != ct)) | (pp == "]") | (pp == "["))
-    start = (cp.isin("B", "S")
-             | ((pp == "E") & cp.isin("E", "I")) | ((pp == "S") & cp.isin("E", "I"))
-             | ((pp == "O") & cp.isin("E", "I"))
-             | ((cp != "O") & (cp != ".") & (pt != ct)) | (cp == "[") | (cp == "]"))
-    return df.withColumn(f"{which}_end", end).withColumn(f"{which}_start", start)
+# The tag scheme, from what each prefix does (parse_tag gives prefix and type):
+# B and S open a chunk; E and S close it after the token; O and . are outside; [ and ] are chunks of one
+# token; I and E go on with the chunk before, or open one if there is none.
+_OPENS, _CLOSES, _OUTSIDE, _SINGLE = ("B", "S"), ("E", "S"), ("O", "."), ("[", "]")
 
 
-def chunks(tags: DataFrame, which: str) -> DataFrame:
-    """Chunks (sent_id, start, end, type) of the gold or predicted tags.
+def chunk_marks(tags: DataFrame, which: str) -> DataFrame:
+    """sent_id, pos, typ and ``opens`` / ``ends_here`` of every token of the gold or predicted tags.
 
-    A chunk starts where the start rule fires and runs to the position before
-    the next chunk end (or the sentence end).
+    A token goes on with the chunk of the token before if that one is inside a chunk, doesn't close it, has
+    the same type, and the token itself doesn't open one or stand outside.  A token inside a chunk that
+    doesn't go on opens one; a chunk ends at the last token before one that doesn't go on.
     """
-    f = _chunk_flags(tags.select("sent_id", "pos", which), which)
-    rev = Window.partitionBy("sent_id").orderBy(F.col("pos").desc()) \
-        .rowsBetween(Window.unboundedPreceding, -1)
-    nxt = F.min(F.when(F.col(f"{which}_end"), F.col("pos"))).over(rev)
-    last = F.max("pos").over(Window.partitionBy("sent_id"))
-    f = f.withColumn("_stop", F.coalesce(nxt - 1, last))
-    return f.where(F.col(f"{which}_start")).select(
-        "sent_id", F.col("pos").alias("start"), F.col("_stop").alias("end"), F.col(f"{which}_t").alias("type"))
+    prefix, typ = parse_tag(F.col(which))
+    w = Window.partitionBy("sent_id").orderBy("pos")
+    t = tags.select("sent_id", "pos", prefix.alias("pre"), typ.alias("typ"))
+    inside = ~F.col("pre").isin(*_OUTSIDE)
+    t = t.withColumns({"inside": inside, "loose": F.col("pre").isin(*_SINGLE, *_OPENS)})
+    before_goes_on = F.lag(F.col("inside") & ~F.col("pre").isin(*_CLOSES, *_SINGLE)).over(w)
+    goes_on = F.col("inside") & ~F.col("loose") & F.coalesce(before_goes_on, F.lit(False)) & (F.lag("typ").over(w) == F.col("typ"))
+    t = t.withColumn("goes_on", goes_on)
+    return t.select("sent_id", "pos", "typ", (F.col("inside") & ~F.col("goes_on")).alias("opens"),
+                    (~F.coalesce(F.lead("goes_on").over(w), F.lit(False)) & F.col("inside")).alias("ends_here"))
+
+
+def chunks(tags: DataFrame, which: str) -> DataFrame:
+    """Chunks (sent_id, start, end, type) of the gold or predicted tags: every opening token up to the next end."""
+    m = chunk_marks(tags, which)
+    ahead = Window.partitionBy("sent_id").orderBy("pos").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    m = m.withColumn("end", F.min(F.when(F.col("ends_here"), F.col("pos"))).over(ahead))
+    return m.where("opens").select("sent_id", F.col("pos").alias("start"), "end", F.col("typ").alias("type"))
 
 
 def chunk_eval(tags: DataFrame) -> DataFrame:
@@ -268,19 +268,33 @@ def token_tag_rows(lines: DataFrame, delimiter: str | None = None, boundary: str
 
 # --- run logs and summaries (SRC-17, PRJ-04, AGG-10) -----------------------------
 
-RUN_RESULT_RE = (r"^TEST-RESULT\s+init_checkpoint\s+(\S+)\s+data_dir\s+(\S+)\s+max_seq_length\s+(\d+)"
-                 r"\s+train_batch_size\s+(\d+)\s+learning_rate\s+(\S+)\s+num_train_epochs\s+(\d+)"
-                 r"\s+f-score\s+(\d+\.\d+)\s+accuracy\s+(\d+\.\d+)$")
-_RUN_FIELDS = ("init_checkpoint", "data_dir", "max_seq_length", "train_batch_size", "learning_rate",
-               "num_train_epochs", "f_score", "accuracy")
+# The names that a result line carries, in any order, and the checks on their values.
+_RUN_FIELDS = {"init_checkpoint": "init_checkpoint", "data_dir": "data_dir", "max_seq_length": "max_seq_length",
+               "train_batch_size": "train_batch_size", "learning_rate": "learning_rate",
+               "num_train_epochs": "num_train_epochs", "f_score": "f-score", "accuracy": "accuracy"}
+_WHOLE, _DECIMAL = ("max_seq_length", "train_batch_size", "num_train_epochs"), ("f_score", "accuracy")
 
 
 def parse_run_results(lines: DataFrame, file_col: str = "file_name", order_col: str = "line_no") -> DataFrame:
-    """SRC-17: per log file, the fields of its LAST matching ``TEST-RESULT`` line; non-matching lines dropped."""
-    m = lines.where(F.col("line").startswith("TEST-RESULT")).where(F.col("line").rlike(RUN_RESULT_RE))
-    cols = [F.regexp_extract("line", RUN_RESULT_RE, i + 1).alias(n) for i, n in enumerate(_RUN_FIELDS)]
-    parsed = m.select(file_col, order_col, *cols)
-    last = parsed.groupBy(file_col).agg(F.max_by(F.struct(*_RUN_FIELDS), F.col(order_col)).alias("r"))
+    """SRC-17: per log file, the fields of its LAST ``TEST-RESULT`` line; other and incomplete lines dropped.
+
+    A result line is the mark and then name / value pairs, all divided by white space.  A line counts if it has
+    every name once, whole numbers and decimals where they belong, and nothing else.
+    """
+    words = F.split(F.col("line"), r"\s+")
+    pairs = F.transform(F.sequence(F.lit(1), F.lit(2 * len(_RUN_FIELDS) - 1), F.lit(2)),
+                        lambda i: F.struct(F.get(words, i).alias("name"), F.get(words, i + 1).alias("value")))
+    m = lines.where((F.get(words, F.lit(0)) == "TEST-RESULT") & (F.size(words) == 1 + 2 * len(_RUN_FIELDS)))
+    m = m.select(file_col, order_col, pairs.alias("pairs"))
+    m = m.where(F.size(F.array_distinct(F.transform("pairs", lambda p: p["name"]))) == len(_RUN_FIELDS))
+    m = m.withColumn("of", F.map_from_entries("pairs"))
+    m = m.select(file_col, order_col, *[F.try_element_at("of", F.lit(name)).alias(c) for c, name in _RUN_FIELDS.items()])
+    good = F.lit(True)
+    for c in _RUN_FIELDS:
+        good = good & F.col(c).isNotNull()
+        if c in _WHOLE + _DECIMAL:
+            good = good & F.col(c).rlike(r"^[0-9]+$" if c in _WHOLE else r"^[0-9]+\.[0-9]+$")
+    last = m.where(good).groupBy(file_col).agg(F.max_by(F.struct(*_RUN_FIELDS), F.col(order_col)).alias("r"))
     return last.select(file_col, "r.*")
 
 
@@ -293,13 +307,6 @@ def run_summary(results: DataFrame, score: str = "accuracy") -> DataFrame:
         F.avg(s).alias("mean"), F.stddev_pop(s).alias("std"))
 
 
-def truncate_percent(value) -> Column:
-    """PRJ-04: 0.9483xx -> '94.83' (digits cut, not rounded), from a training-log number."""
-    v = _c(value)
-    return F.concat(F.regexp_extract(v, r"(\d)\.(\d{2})(\d{2})\d+$", 2),
-                    F.lit("."), F.regexp_extract(v, r"(\d)\.(\d{2})(\d{2})\d+$", 3))
-
-
 # --- latency (AGG-11, AGG-12, EV-10) ------------------------------------------------
 
 def latency_summary(times: DataFrame, batch_col: str = "batch_no", time_col: str = "elapsed_ms",

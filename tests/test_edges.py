@@ -31,47 +31,32 @@ def py_is_word(tok):
 
 
 def py_words(s, n, reverse=False):
-    toks = s.split(" ") if s else [""]
-    seq = list(reversed(toks)) if reverse else toks
-    out, count = [], 0
-    for t in seq:
-        if count >= n:
-            break
-        out.append(t)
-        if py_is_word(t):
-            count += 1
-    return " ".join(reversed(out) if reverse else out)
+    """Shortest leading (or trailing) run of tokens with n words in it, all tokens if there are fewer: by the places
+    of the words."""
+    toks = (s.split(" ") if s else [""])[::-1 if reverse else 1]
+    places = [i for i, t in enumerate(toks) if py_is_word(t)]
+    cut = toks if len(places) < n else toks[:places[n - 1] + 1] if n else []
+    return " ".join(cut[::-1 if reverse else 1])
 
 
 def py_context(text, start, end, n):
-    before = py_words(py_norm("DOCSTART " + text[:start]), n, reverse=True)
-    after = py_words(py_norm(text[end:] + " DOCEND"), n)
-    return before, after
+    return (py_words(py_norm("DOCSTART " + text[:start]), n, reverse=True), py_words(py_norm(text[end:] + " DOCEND"), n))
 
 
 def py_chunks(tags):
-    """Chunk spans (start, end, type) of one tag sequence, walking the tag pairs."""
-    def parse(t):
-        m = re.match(r"^([^-]*)-(.*)$", t)
-        return m.groups() if m else (t, "")
-
-    def is_end(pp, p, pt, t):
-        return (pp in ("E", "S") or (pp in ("B", "I") and p in ("B", "S", "O"))
-                or (pp not in ("O", ".") and pt != t) or pp in ("]", "["))
-
-    def is_start(pp, p, pt, t):
-        return (p in ("B", "S") or (pp in ("E", "S", "O") and p in ("E", "I"))
-                or (p not in ("O", ".") and pt != t) or p in ("[", "]"))
-    spans, cur = [], None
-    prev, ptype = "O", ""
-    seq = [parse(x) for x in tags] + [("O", "")]
-    for i, (p, t) in enumerate(seq):
-        if cur is not None and is_end(prev, p, ptype, t):
-            spans.append((cur[0], i - 1, cur[1]))
-            cur = None
-        if i < len(tags) and is_start(prev, p, ptype, t):
-            cur = (i, t)
-        prev, ptype = p, t
+    """Chunk spans of a tag sequence, as matches of one pattern over a string with a letter for each tag.
+
+    Runs of equal types are told apart first; inside a run a chunk is a B or nothing, then Is, then an E or
+    nothing; an S or a bracket is a chunk of its own.
+    """
+    split = [t.split("-", 1) if "-" in t else [t, ""] for t in tags]
+    letters = "".join("O" if p in "O." else p for p, _ in split)
+    spans, start = [], 0
+    for i in range(1, len(tags) + 1):
+        if i == len(tags) or split[i][1] != split[start][1]:
+            spans += [(start + m.start(), start + m.end() - 1, split[start][1])
+                      for m in re.finditer(r"BI*E?|I+E?|E|S|[\[\]]", letters[start:i])]
+            start = i
     return spans
 
 
@@ -225,7 +210,8 @@ def test_wordpiece_random(spark):
 def test_pretrain_invariants(spark):
     from tagsift.operators.pretrain import instances
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
-    inst = instances(docs, ["foo", "bar"], max_seq_length=64, dupe_factor=2).collect()
+    vocab = spark.createDataFrame([("foo", 0), ("bar", 1)], "token string, word_no long")
+    inst = instances(docs, vocab, max_seq_length=64, dupe_factor=2).collect()
     assert inst
     for r in inst:
         toks = list(r["tokens"])
@@ -233,4 +219,86 @@ def test_pretrain_invariants(spark):
         n = min(20, max(1, int(round(len(toks) * 0.15))))
         assert len(r["masked_lm_positions"]) == min(n, len(toks) - 3)
         assert len(r["masked_lm_labels"]) == len(r["masked_lm_positions"])
-        assert toks[0] == "[CLS]" and toks[-1] == "[SEP]"
+        assert toks[0] == "[CLS]" and toks[-1] == "[SEP]" and toks.count("[SEP]") == 2
+        assert list(r["segment_ids"]) == [0] * (toks.index("[SEP]") + 1) + [1] * (len(toks) - toks.index("[SEP]") - 1)
+        assert list(r["masked_lm_positions"]) == sorted(set(r["masked_lm_positions"]))
+        for at, label in zip(r["masked_lm_positions"], r["masked_lm_labels"]):
+            assert label not in ("[CLS]", "[SEP]") and toks[at] in ("[MASK]", label, "foo", "bar")
+
+
+def test_pretrain_plan_covers_every_sentence_once(spark):
+    from tagsift.operators import pretrain as pt
+    docs = spark.createDataFrame([(1, "One two. Three four! Five six seven? Eight."), (2, "a b c d e f g\nh i"), (3, "x")],
+                                 "doc_id long, text string")
+    table = pt.document_lengths(pt.sentences(docs))
+    lengths = {r["doc_id"]: [x["n"] for x in r["s"]] for r in table.collect()}
+    rows = pt.plan(table, 12, 20, 0.3, 7).collect()
+    for doc, n in lengths.items():
+        for dupe in range(1, 21):
+            own = sorted((r for r in rows if (r["doc_id"], r["dupe"]) == (doc, dupe)), key=lambda r: r["inst_no"])
+            covered = []
+            for r in own:
+                assert r["is_random_next"] == (r["b_doc"] != doc)
+                covered += range(r["a_from"], (r["a_to"] if r["is_random_next"] else r["b_to"]) + 1)
+                if not r["is_random_next"]:
+                    assert r["b_from"] == r["a_to"] + 1
+                assert 0 <= r["b_from"] <= r["b_to"] < len(lengths[r["b_doc"]])
+            assert covered == list(range(len(n)))
+
+
+def test_streamed_evidence_keeps_every_file_and_the_newest_rows(spark, tmp_path):
+    from tagsift.operators.evidence import CLASSES, local_evidence
+    from tagsift.streaming.running import streaming_local_evidence
+    schema = "doc_id long, ann_id long, name string, s_type string, class string, p double"
+
+    def rows(doc, p):
+        other = (1 - p) / 4
+        return [(doc, 1, "n", "ggp", c, p if c == "ggp" else other) for c in CLASSES]
+    src, out, log = (f"{tmp_path}/{d}" for d in ("src", "out", "log"))
+    frames = [spark.createDataFrame(rows(4, 0.5) + rows(8, 0.6), schema), spark.createDataFrame(rows(12, 0.7), schema),
+              spark.createDataFrame(rows(16, 0.8), schema)]
+    for f in frames:
+        f.coalesce(1).write.mode("append").parquet(src)
+    first = streaming_local_evidence(spark, src, frames[0].schema, out, log)
+    assert {r["doc_id"] for r in first.collect()} == {4, 8, 12, 16}
+    again = spark.createDataFrame(rows(8, 0.9), schema)              # a document that lands once more
+    again.coalesce(1).write.mode("append").parquet(src)
+    got = streaming_local_evidence(spark, src, frames[0].schema, out, log)
+    want = local_evidence(frames[1].union(frames[2]).union(again).union(frames[0].where("doc_id = 4")))
+    assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))
+
+
+def test_last_entity_of_a_serial_and_unique_global_rows(spark):
+    from tagsift.operators.corpus import resolve_matches
+    from tagsift.operators.lists import global_decision
+    raw = spark.createDataFrame([(1, 0, 2, 7)], "doc_id long, start int, stop int, serial long")
+    ent = spark.createDataFrame([(7, -1, "old", 1), (7, -2, "new", 2)], "serial long, type int, identifier string, line_no int")
+    assert [(r["type"], r["identifier"]) for r in resolve_matches(raw, ent, "line_no").collect()] == [(-2, "new")]
+    twice = spark.createDataFrame([("n", "ggp", 12, 0.6), ("n", "ggp", 3, 0.1)], "name string, type string, count long, avg_prob double")
+    with pytest.raises(Exception, match="repeated global row"):
+        global_decision(twice).collect()
+
+
+def test_label_ids_do_not_depend_on_the_data(spark):
+    from tagsift.operators.features import label_id
+    df = spark.createDataFrame([("ggp",), ("org",)], "label string")
+    assert [r[0] for r in df.select(label_id("label", ["org", "che", "ggp", "dis"])).collect()] == [2, 3]
+    with pytest.raises(Exception, match="unknown label"):
+        spark.createDataFrame([("x",)], "label string").select(label_id("label", ["a"])).collect()
+    with pytest.raises(ValueError):
+        label_id("label", ["a", "a"])
+
+
+def test_checkpoint_folder_must_be_set_on_a_cluster():
+    from types import SimpleNamespace
+
+    from tagsift.session import ensure_checkpoint_dir
+    seen = []
+    context = SimpleNamespace(setCheckpointDir=seen.append)
+
+    def session(**conf):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: conf.get(k, d), set=conf.__setitem__), sparkContext=context)
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        ensure_checkpoint_dir(session(**{"spark.master": "spark://host:7077"}))
+    assert ensure_checkpoint_dir(session(**{"spark.master": "yarn", "spark.checkpoint.dir": "hdfs://x"})) == "hdfs://x" == seen[0]
+    assert ensure_checkpoint_dir(session(**{"spark.master": "local[2]"})) == seen[1]
