@@ -33,6 +33,7 @@ MAX_SYMBOL_PERCENT = 20         # soft: symbols against words
 MAX_DUP_LINE_PERCENT = 30       # soft: repeated lines against words * lines
 MEAN_WORD_CHARS = (2, 12)       # soft
 MAX_HOST_RATE = 0.5
+LEAST_PRIOR = 10.0              # the prior weighs as much as so many documents, at least
 
 
 def _repeat_words(words: Column) -> Column:
@@ -104,7 +105,7 @@ def bad_hosts(measured: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataFrame
     """_host of the hosts whose shrunk failure rate is over ``max_rate``.
 
     The prior's two parameters are scalar aggregates over the hosts' table: with mean m and variance v
-    of the rates, alpha + beta = m (1 - m) / v - 1 (at least 1), alpha = m (alpha + beta).
+    of the rates, alpha + beta = m (1 - m) / v - 1 (at least LEAST_PRIOR), alpha = m (alpha + beta).
     """
     hard, soft = _rules({k: F.col(f"_counts.{k}") for k in COUNTS})
     hosts = measured.where(F.col("_host").isNotNull()).groupBy("_host").agg(
@@ -112,7 +113,7 @@ def bad_hosts(measured: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataFrame
     rate = F.col("failed") / F.col("n")
     m, v = hosts.agg(F.sum("failed") / F.sum("n"), F.coalesce(F.var_pop(rate), F.lit(0.0))).first()
     m = m or 0.0
-    strength = max(1.0, m * (1 - m) / v - 1) if v else 1.0
+    strength = max(LEAST_PRIOR, m * (1 - m) / v - 1) if v else LEAST_PRIOR
     shrunk = (F.col("failed") + m * strength) / (F.col("n") + strength)
     return hosts.where(shrunk > max_rate).select("_host")
 

@@ -49,7 +49,7 @@ JUDGED_SQL = r"""
   q_h AS (SELECT source, count(*) AS n, count_if(base_failed OR soft) AS f FROM q_f WHERE source IS NOT NULL
           GROUP BY source),
   q_m AS (SELECT sum(f) / sum(n) AS m, coalesce(var_pop(f / n), 0) AS v FROM q_h),
-  q_t AS (SELECT m, CASE WHEN v > 0 THEN greatest(1, m * (1 - m) / v - 1) ELSE 1 END AS s FROM q_m),
+  q_t AS (SELECT m, CASE WHEN v > 0 THEN greatest(10, m * (1 - m) / v - 1) ELSE 10 END AS s FROM q_m),
   q_b AS (SELECT source, (f + m * s) / (n + s) > {rate} AS bad FROM q_h, q_t),
   q_j AS (SELECT q_f.*, coalesce(bad, false) AND soft AS host_failed,
                  NOT base_failed AND NOT (coalesce(bad, false) AND soft) AS kept

@@ -3,9 +3,8 @@
 Byte-level BPE first cuts a text by a pattern and merges inside each cut.  No cut spans from a
 character that isn't white space into one that is, nor from a letter into a sign that isn't one, and
 the pattern never looks back, so a text can be taken apart before every run of white space and after
-every run of letters and the ids of the parts put together again.  Most parts
-(a space and a word) come again and again; their ids are kept in two generations of a dictionary, so
-that frequent parts stay and memory is bounded.
+every run of letters and the ids of the parts put together again.  Most parts (a space and a word) come
+again and again; their ids are kept in a dictionary of bounded size.
 """
 
 from __future__ import annotations
@@ -21,7 +20,8 @@ _WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u30
 # Letters of which a run may end before an ASCII sign that isn't a letter: a cut always lies there.
 _LETTERS = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f"
 _PARTS = re.compile(f"[{_WS}]*[{_LETTERS}]+(?![^\x00-\x40\x5b-\x60\x7b-\x7f])|[{_WS}]*[^{_WS}]+|[{_WS}]+")
-CACHE_PARTS = 300_000          # per generation
+_SPACES = frozenset(c for c in map(chr, range(0x3001)) if re.match(f"[{_WS}]", c))
+CACHE_PARTS = 600_000          # the dictionary starts anew beyond this
 CACHE_PART_CHARS = 64          # longer parts aren't kept
 
 
@@ -33,29 +33,37 @@ class PieceEncoder:
         from tokenizers import Tokenizer
         self._tok = Tokenizer.from_file(path)
         self._tok.encode_special_tokens = True           # their strings in a text are ordinary text
-        self._new: dict[str, bytes] = {}
-        self._old: dict[str, bytes] = {}
+        self._known: dict[str, bytes] = {}
+        self._long: list[str] = []
 
     def _learn(self, parts: list[str]) -> dict[str, bytes]:
-        made = self._tok.encode_batch_fast(parts, add_special_tokens=False)
-        return {p: np.array(e.ids, dtype="<u4").tobytes() for p, e in zip(parts, made)}
+        """Ids of parts.  Parts that begin with white space and don't end with it are encoded as one text: a cut
+        lies wherever two of them meet, and each id's place in the text tells its part."""
+        joined = [p for p in parts if p[0] in _SPACES and p[-1] not in _SPACES]
+        single = [p for p in parts if p[0] not in _SPACES or p[-1] in _SPACES]
+        self._long += [p for p in parts if len(p) > CACHE_PART_CHARS]
+        made = {p: np.array(e.ids, dtype="<u4").tobytes()
+                for p, e in zip(single, self._tok.encode_batch_fast(single, add_special_tokens=False))}
+        if joined:
+            whole = self._tok.encode("".join(joined), add_special_tokens=False)
+            ends = np.cumsum(np.fromiter(map(len, joined), np.int64, len(joined)))
+            at = np.fromiter((o[0] for o in whole.offsets), np.int64, len(whole.ids))
+            last = (np.searchsorted(at, ends, side="left") * 4).tolist()
+            ids = np.array(whole.ids, dtype="<u4").tobytes()
+            made |= {p: ids[i:j] for p, i, j in zip(joined, [0, *last], last)}
+        return made
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [_PARTS.findall(t) for t in texts]
-        known, unknown = {}, []
-        for p in set().union(*cut) if cut else ():
-            ids = self._new.get(p) or self._old.get(p)
-            if ids is None:
-                unknown.append(p)
-            else:
-                known[p] = ids
-        known |= self._learn(unknown)
-        for p, ids in known.items():
-            if len(p) <= CACHE_PART_CHARS:
-                self._new[p] = ids
-        if len(self._new) > CACHE_PARTS:
-            self._old, self._new = self._new, {}
-        return [b"".join(map(known.__getitem__, parts)) for parts in cut]
+        if len(self._known) > CACHE_PARTS:
+            self._known = {}
+        known = self._known
+        known |= self._learn(list(set().union(*cut).difference(known)))
+        out = [b"".join(map(known.__getitem__, parts)) for parts in cut]
+        for p in [p for p in self._long if p in known]:
+            del known[p]
+        self._long.clear()
+        return out
 
 
 @lru_cache(maxsize=2)
