@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tagsift.functions.scoring import safe_div
 from tagsift.functions.text import parse_tag
+from tagsift.operators.features import label_id
 from tagsift.operators.ordered import global_running
 
 
@@ -36,84 +37,82 @@ def _fbeta(pr: Column, re: Column, beta: float) -> Column:
     return safe_div((1.0 + beta ** 2) * pr * re, beta ** 2 * pr + re)
 
 
-def per_class_scores(cm: DataFrame, num_classes: int, pos_indices: Sequence[int] | None = None,
-                     beta: float = 1.0) -> DataFrame:
-    """EV-03/04 inputs: per positive class: precision, recall, fbeta, gold count.
+def class_totals(cm: DataFrame, num_classes: int, extra: Sequence[Column] = ()) -> DataFrame:
+    """One row: arrays tp, n_pred, n_gold by class 0..num_classes-1, from one aggregate over the matrix.
 
     Classes that never occur get zeros (Q-10: the class count is an argument).
     """
-    spark = cm.sparkSession
-    pos = list(range(num_classes)) if pos_indices is None else list(pos_indices)
-    classes = spark.createDataFrame([(int(i),) for i in pos], "cls int")   # parameter table, <= num_classes rows
-    diag = cm.where(F.col("label") == F.col("prediction")).groupBy(F.col("label").alias("cls")).agg(F.sum("n").alias("tp"))
-    pred = cm.groupBy(F.col("prediction").alias("cls")).agg(F.sum("n").alias("n_pred"))
-    gold = cm.groupBy(F.col("label").alias("cls")).agg(F.sum("n").alias("n_gold"))
-    t = classes.join(diag, "cls", "left").join(pred, "cls", "left").join(gold, "cls", "left").fillna(0.0)
-    pr, re = safe_div(F.col("tp"), F.col("n_pred")), safe_div(F.col("tp"), F.col("n_gold"))
-    return t.select("cls", pr.alias("precision"), re.alias("recall"), _fbeta(pr, re, beta).alias("fbeta"),
-                    F.col("n_gold"))
+    def total(cond: Column) -> Column:
+        return F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0.0))
 
+    lab, pred = F.col("label"), F.col("prediction")
+    ids = range(num_classes)
+    return cm.agg(F.array(*[total((lab == i) & (pred == i)) for i in ids]).alias("tp"),
+                  F.array(*[total(pred == i) for i in ids]).alias("n_pred"),
+                  F.array(*[total(lab == i) for i in ids]).alias("n_gold"), *extra)
+
+
+def _averages(average: str, pos: Sequence[int], beta: float) -> tuple[Column, Column, Column]:
+    """precision, recall, fbeta columns over the arrays of ``class_totals``."""
+    def at(name: str, i: int) -> Column:
+        return F.get(name, F.lit(i))
+
+    def total(cols: Sequence[Column]) -> Column:
+        return sum(cols, F.lit(0.0))
 
-def prf(cm: DataFrame, num_classes: int, average: str = "micro", pos_indices: Sequence[int] | None = None,
-        beta: float = 1.0) -> DataFrame:
-    """EV-02..04: one row (precision, recall, fbeta) under ``micro``, ``macro`` or ``weighted`` averaging."""
-    pos = list(range(num_classes)) if pos_indices is None else list(pos_indices)
     if average == "micro":
-        lab_pos, pred_pos = F.col("label").isin(*pos), F.col("prediction").isin(*pos)
-        s = cm.agg(
-            F.sum(F.when((F.col("label") == F.col("prediction")) & lab_pos, F.col("n")).otherwise(0.0)).alias("d"),
-            F.sum(F.when(pred_pos, F.col("n")).otherwise(0.0)).alias("tp_"),
-            F.sum(F.when(lab_pos, F.col("n")).otherwise(0.0)).alias("tg"))
-        pr, re = safe_div(F.col("d"), F.col("tp_")), safe_div(F.col("d"), F.col("tg"))
-        return s.select(pr.alias("precision"), re.alias("recall"), _fbeta(pr, re, beta).alias("fbeta"))
-    t = per_class_scores(cm, num_classes, pos, beta)
+        hit, said, real = (total([at(c, i) for i in pos]) for c in ("tp", "n_pred", "n_gold"))
+        pr, re = safe_div(hit, said), safe_div(hit, real)
+        return pr, re, _fbeta(pr, re, beta)
+    each = []
+    for i in pos:
+        pr, re = safe_div(at("tp", i), at("n_pred", i)), safe_div(at("tp", i), at("n_gold", i))
+        each.append((pr, re, _fbeta(pr, re, beta)))
     if average == "macro":
-        return t.agg(*[(F.sum(c) / F.lit(float(len(pos)))).alias(c) for c in ("precision", "recall", "fbeta")])
+        return tuple(total([e[k] for e in each]) / F.lit(float(len(pos))) for k in range(3))
     if average == "weighted":
-        return t.agg(*[safe_div(F.sum(F.col(c) * F.col("n_gold")), F.sum("n_gold")).alias(c)
-                       for c in ("precision", "recall", "fbeta")])
+        real = total([at("n_gold", i) for i in pos])
+        return tuple(safe_div(total([e[k] * at("n_gold", i) for e, i in zip(each, pos)]), real) for k in range(3))
     raise ValueError(average)
 
 
-def accuracy(df: DataFrame, label: str = "label", prediction: str = "prediction",
-             weight: str | None = None) -> DataFrame:
-    """EV-01: weighted accuracy sum(w * ok) / sum(w)."""
-    w = F.col(weight) if weight else F.lit(1.0)
-    ok = (F.col(label) == F.col(prediction)).cast("double")
-    return df.agg(safe_div(F.sum(w * ok), F.sum(w)).alias("accuracy"))
+def prf_rows(cm: DataFrame, num_classes: int, averages: Sequence[str], pos_indices: Sequence[int] | None = None,
+             beta: float = 1.0) -> DataFrame:
+    """EV-02..04: one row (average, precision, recall, fbeta) for each averaging, from one pass over the matrix."""
+    pos = list(range(num_classes)) if pos_indices is None else list(pos_indices)
+    rows = []
+    for avg in averages:
+        pr, re, fb = _averages(avg, pos, beta)
+        rows.append(F.struct(F.lit(avg).alias("average"), pr.alias("precision"), re.alias("recall"), fb.alias("fbeta")))
+    return class_totals(cm, num_classes).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
-def mean_loss(df: DataFrame, loss: str, weight: str | None = None) -> DataFrame:
-    """EV-01: weighted mean of a per-row loss."""
-    w = F.col(weight) if weight else F.lit(1.0)
-    return df.agg(safe_div(F.sum(w * F.col(loss)), F.sum(w)).alias("loss"))
+def prf(cm: DataFrame, num_classes: int, average: str = "micro", pos_indices: Sequence[int] | None = None,
+        beta: float = 1.0) -> DataFrame:
+    """EV-02..04: one row (precision, recall, fbeta) under ``micro``, ``macro`` or ``weighted`` averaging."""
+    return prf_rows(cm, num_classes, [average], pos_indices, beta).drop("average")
 
 
 def eval_report(df: DataFrame, num_classes: int, label: str = "label", prediction: str = "prediction",
-                weight: str | None = "weight", loss: str | None = None) -> DataFrame:
-    """EV-05: the evaluation metrics as (metric, value) rows.
+                weight: str | None = "weight", loss: Column | None = None) -> DataFrame:
+    """EV-01..05: the evaluation metrics as (metric, value) rows, from one aggregate over the rows.
 
-    Accuracy (and loss) use the example weight; precision / recall / F1 are
-    computed on the unweighted confusion matrix, as in the reference.
+    Accuracy and loss use the example weight; precision / recall / F1 use the row counts.
     """
-    cm = confusion_matrix(df, label, prediction)
-    rows = [accuracy(df, label, prediction, weight).select(F.lit("eval_accuracy").alias("metric"),
-                                                           F.col("accuracy").alias("value"))]
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    cells = df.groupBy(F.col(label).alias("label"), F.col(prediction).alias("prediction")).agg(
+        F.sum(F.lit(1.0)).alias("n"), F.sum(w).alias("w"), F.sum(w * (loss if loss is not None else F.lit(0.0))).alias("w_loss"))
+    right = F.sum(F.when(F.col("label") == F.col("prediction"), F.col("w")).otherwise(0.0))
+    totals = class_totals(cells, num_classes, [F.sum("w").alias("w"), right.alias("w_right"), F.sum("w_loss").alias("w_loss")])
+    out = [("eval_accuracy", safe_div(F.col("w_right"), F.col("w")))]
     if loss is not None:
-        rows.append(mean_loss(df, loss, weight).select(F.lit("eval_loss").alias("metric"), F.col("loss").alias("value")))
-    names = {"micro": ("precision", "recall", "f1-score"),
-             "macro": ("precision_mac", "recall_mac", "f1-macro"),
+        out.append(("eval_loss", safe_div(F.col("w_loss"), F.col("w"))))
+    names = {"micro": ("precision", "recall", "f1-score"), "macro": ("precision_mac", "recall_mac", "f1-macro"),
              "weighted": ("precision_weighted", "recall_weighted", "f1-weighted")}
-    for avg, (pn, rn, fn) in names.items():
-        m = prf(cm, num_classes, avg)
-        rows.append(m.select(F.explode(F.array(
-            F.struct(F.lit(pn).alias("metric"), F.col("precision").alias("value")),
-            F.struct(F.lit(rn).alias("metric"), F.col("recall").alias("value")),
-            F.struct(F.lit(fn).alias("metric"), F.col("fbeta").alias("value")))).alias("m")).select("m.*"))
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
+    for avg, of in names.items():
+        out += zip(of, _averages(avg, range(num_classes), 1.0))
+    rows = F.array(*[F.struct(F.lit(k).alias("metric"), v.alias("value")) for k, v in out])
+    return totals.select(F.explode(rows).alias("m")).select("m.*")
 
 
 def cross_entropy(probs: Column, label: Column) -> Column:
@@ -125,22 +124,16 @@ def cross_entropy(probs: Column, label: Column) -> Column:
 
 def binary_report(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
     """EV-07: precision, recall, F1 of class 1 and specificity (= recall of class 0)."""
-    cm = confusion_matrix(df, label, prediction)
-    t = per_class_scores(cm, 2, [0, 1])
-    return t.groupBy().agg(
-        F.max(F.when(F.col("cls") == 1, F.col("fbeta"))).alias("f1"),
-        F.max(F.when(F.col("cls") == 1, F.col("recall"))).alias("recall"),
-        F.max(F.when(F.col("cls") == 1, F.col("precision"))).alias("precision"),
-        F.max(F.when(F.col("cls") == 0, F.col("recall"))).alias("specificity"))
+    t = class_totals(confusion_matrix(df, label, prediction), 2)
+    pr, re = (safe_div(F.get("tp", F.lit(1)), F.get(c, F.lit(1))) for c in ("n_pred", "n_gold"))
+    return t.select(_fbeta(pr, re, 1.0).alias("f1"), re.alias("recall"), pr.alias("precision"),
+                    safe_div(F.get("tp", F.lit(0)), F.get("n_gold", F.lit(0))).alias("specificity"))
 
 
-def label_index(df: DataFrame, label: str, missing: str = "False") -> DataFrame:
-    """EV-08 / SRC-12: class index = position of the label among the sorted distinct labels (missing -> ``missing``)."""
-    lab = F.coalesce(F.col(label), F.lit(missing))
-    d = df.select(lab.alias("_lab")).distinct()
-    idx = d.select("_lab", (F.dense_rank().over(Window.orderBy("_lab")) - 1).alias("label_index"))
-    # distinct labels are a small set (the label vocabulary)
-    return df.withColumn("_lab", lab).join(F.broadcast(idx), "_lab").drop("_lab")
+def label_index(df: DataFrame, label: str, labels: Sequence[str], missing: str = "False") -> DataFrame:
+    """EV-08 / SRC-12: class index = place of the label in the sorted label list (missing -> ``missing``)."""
+    return df.withColumn("_lab", F.coalesce(F.col(label), F.lit(missing))).withColumn(
+        "label_index", label_id("_lab", [*labels, missing])).drop("_lab")
 
 
 # --- PR curve (EV-06) ----------------------------------------------------------
@@ -299,12 +292,13 @@ def parse_run_results(lines: DataFrame, file_col: str = "file_name", order_col:
 
 
 def run_summary(results: DataFrame, score: str = "accuracy") -> DataFrame:
-    """AGG-10: per hyper-parameter key: scores, mean and population standard deviation."""
+    """AGG-10: per hyper-parameter key: number of scores, mean and population standard deviation.
+
+    The scores themselves stay rows (``parse_run_results``): a setting may have any number of runs.
+    """
     key = ["init_checkpoint", "learning_rate", "num_train_epochs", "train_batch_size", "max_seq_length"]
     s = F.col(score).cast("double")
-    return results.groupBy(*key).agg(
-        F.array_sort(F.collect_list(s)).alias("scores"), F.count(s).alias("n"),
-        F.avg(s).alias("mean"), F.stddev_pop(s).alias("std"))
+    return results.groupBy(*key).agg(F.count(s).alias("n"), F.avg(s).alias("mean"), F.stddev_pop(s).alias("std"))
 
 
 # --- latency (AGG-11, AGG-12, EV-10) ------------------------------------------------
@@ -321,17 +315,22 @@ def latency_summary(times: DataFrame, batch_col: str = "batch_no", time_col: str
     """
     t = times.select(batch_col, time_col)
     if skip_first > 0:
-        b = global_running(t, [batch_col], with_rank=True)
-        t = b.where(F.col("rank") > skip_first).select(batch_col, time_col)
-    r = global_running(t, [time_col, batch_col], with_rank=True, with_totals=True)
-    n = r.agg(F.count(F.lit(1)).alias("n"), F.avg(time_col).alias("mean"), F.sum(time_col).alias("total"))
+        warm = t.orderBy(batch_col).limit(skip_first).select(batch_col)      # skip_first rows
+        t = t.join(F.broadcast(warm), batch_col, "left_anti")
+    # Equal times are one row with their number; the k-th time is the first whose running number reaches k.
+    counts = t.groupBy(time_col).agg(F.count(F.lit(1)).alias("c"))
+    r = global_running(counts, [time_col], sum_cols=["c"])
+    n = r.agg(F.sum("c").alias("n"), (F.sum(F.col(time_col) * F.col("c")) / F.sum("c")).alias("mean"),
+              F.sum(F.col(time_col) * F.col("c")).alias("total"))
     qs = F.array(*[F.struct(F.lit(f"p{int(round(q * 100))}").alias("metric"), F.lit(float(q)).alias("q"))
                    for q in quantiles])
     want = n.select("n", F.explode(qs).alias("m")) \
         .select(F.col("m.metric").alias("metric"),
                 (F.floor(F.col("n") * F.col("m.q")) + rank_offset).cast("long").alias("k"))
-    vals = want.join(r.select(F.col("rank").alias("k"), F.col(time_col).alias("value")), "k", "left") \
-               .select("metric", "value")
+    spans = r.select(F.col(time_col).alias("value"), (F.col("cum_c") - F.col("c")).alias("lo"), F.col("cum_c").alias("hi"))
+    # One row per quantile on the broadcast side.
+    vals = spans.join(F.broadcast(want), (F.col("k") > F.col("lo")) & (F.col("k") <= F.col("hi"))).select("metric", "value")
+    vals = want.join(vals, "metric", "left").select("metric", "value")
     extra = [n.select(F.lit("mean").alias("metric"), F.col("mean").alias("value"))]
     if batch_size is not None:
         extra.append(n.select(F.lit("throughput").alias("metric"),

@@ -17,17 +17,14 @@ def q_confusion(spark, sf):
 
 def q_eval_report(spark, sf):
     """EV-01..05: accuracy (weighted) and micro / macro / weighted P, R, F1 over 6 classes."""
-    return mt.eval_report(fixture(spark, sf, "fx_eval"), NUM_CLASSES, weight="weight")
+    rows = fixture(spark, sf, "fx_eval")
+    return mt.eval_report(rows, NUM_CLASSES, weight="weight", loss=mt.cross_entropy(F.col("probs"), F.col("label")))
 
 
 def q_prf_positive(spark, sf):
     """EV-02..04 with positive classes 1..4 (class 0 treated as negative), beta 2, per averaging."""
     cm = mt.confusion_matrix(fixture(spark, sf, "fx_eval"))
-    out = None
-    for avg in ("micro", "macro", "weighted"):
-        r = mt.prf(cm, NUM_CLASSES, avg, pos_indices=[1, 2, 3, 4], beta=2.0).select(F.lit(avg).alias("average"), "*")
-        out = r if out is None else out.unionByName(r)
-    return out
+    return mt.prf_rows(cm, NUM_CLASSES, ["micro", "macro", "weighted"], pos_indices=[1, 2, 3, 4], beta=2.0)
 
 
 def _binary(spark, sf):
@@ -45,7 +42,7 @@ def q_relation_micro(spark, sf):
     e = fixture(spark, sf, "fx_eval")
     e = e.withColumn("gold", F.when(F.col("label") == 0, F.lit(None)).otherwise(
         F.concat(F.lit("CPR:"), F.col("label").cast("string"))))
-    idx = mt.label_index(e, "gold")
+    idx = mt.label_index(e, "gold", [f"CPR:{i}" for i in range(1, 5)])
     cm = mt.confusion_matrix(idx, "label_index", "prediction")
     return mt.prf(cm, NUM_CLASSES, "micro", pos_indices=[0, 1, 2, 3, 4])
 
@@ -71,7 +68,7 @@ def q_run_results(spark, sf):
 
 
 def q_run_summary(spark, sf):
-    """AGG-10: run scores per hyper-parameter setting: list, mean, population std."""
+    """AGG-10: run scores per hyper-parameter setting: number, mean, population std."""
     return mt.run_summary(mt.parse_run_results(fixture(spark, sf, "fx_log_line")))
 
 
@@ -123,6 +120,7 @@ _CM = "cm AS (SELECT label, prediction, CAST(count(*) AS DOUBLE) AS n FROM fx_ev
 _EVAL = duck_with("fx_eval") + ",\n" + _CM + ",\n" + _pc() + """,
 mi AS (SELECT sum(CASE WHEN label = prediction THEN n ELSE 0 END) / sum(n) AS p FROM cm)
 SELECT 'eval_accuracy' AS metric, sum(weight * CASE WHEN label = prediction THEN 1.0 ELSE 0.0 END) / sum(weight) AS value FROM fx_eval
+UNION ALL SELECT 'eval_loss', sum(weight * -ln(probs[label + 1])) / sum(weight) FROM fx_eval
 UNION ALL SELECT 'precision', p FROM mi UNION ALL SELECT 'recall', p FROM mi
 UNION ALL SELECT 'f1-score', CASE WHEN p = 0 THEN 0 ELSE 2 * p * p / (p + p) END FROM mi
 UNION ALL SELECT 'precision_mac', sum(p) / 6 FROM pcf UNION ALL SELECT 'recall_mac', sum(r) / 6 FROM pcf
@@ -243,7 +241,7 @@ SELECT max(coalesce(f1, 0.0)) AS best_f1,
     "run_results": _RUNS + " SELECT * FROM runs",
     "run_summary": _RUNS + """
 SELECT init_checkpoint, learning_rate, num_train_epochs, train_batch_size, max_seq_length,
-       list(CAST(accuracy AS DOUBLE) ORDER BY CAST(accuracy AS DOUBLE)) AS scores, count(*) AS n,
+       count(*) AS n,
        avg(CAST(accuracy AS DOUBLE)) AS mean, stddev_pop(CAST(accuracy AS DOUBLE)) AS std
 FROM runs GROUP BY ALL""",
     "latency_summary": _LAT.format(skip=2, off=0, qs="('p50', 0.5), ('p90', 0.9), ('p95', 0.95), ('p99', 0.99), ('p100', 1.0)")

@@ -78,10 +78,14 @@ SELECT DISTINCT CAST(p_size AS STRING) AS taxid, 'name' || CAST(p_size AS STRING
        CASE p_size % 3 WHEN 0 THEN 'species' ELSE 'genus' END AS rank FROM {part} WHERE p_size % 3 <> 2
 """
 
-_EVAL = """
+_EVAL_TEXT = """
 SELECT vec_id AS row_id, label % 5 AS label, CASE WHEN vec_id % 4 = 0 THEN (label + 1) % 5 ELSE label % 5 END AS prediction,
-       CASE WHEN vec_id % 50 = 0 THEN 0.0e0 ELSE 1.0e0 END AS weight FROM {embeddings}
+       CASE WHEN vec_id % 50 = 0 THEN 0.0e0 ELSE 1.0e0 END AS weight, {open}(1 + vec_id % 7)/40.0e0, (1 + vec_id % 5)/40.0e0,
+       (1 + vec_id % 3)/40.0e0, (1 + vec_id % 6)/40.0e0, (36 - vec_id % 7 - vec_id % 5 - vec_id % 3 - vec_id % 6)/40.0e0{close} AS probs
+FROM {{embeddings}}
 """
+_EVAL_SPARK = _EVAL_TEXT.format(open="array(", close=")")
+_EVAL_DUCK = _EVAL_TEXT.format(open="[", close="]").replace("{embeddings}", "embeddings")
 
 _SCORE = "SELECT doc_id AS row_id, quality AS y_true, ((doc_id*37) % 101)/101.0e0 AS score FROM {labels}"
 
@@ -204,7 +208,6 @@ _SHARED = {
     "fx_raw_match": _RAW_MATCH,
     "fx_entity": _ENTITY,
     "fx_rank": _RANK,
-    "fx_eval": _EVAL,
     "fx_score": _SCORE,
     "fx_log_line": _LOG_LINE,
     "fx_batch_time": _BATCH_TIME,
@@ -214,6 +217,7 @@ _SHARED = {
 
 SPARK_SQL = dict(_SHARED)
 SPARK_SQL.update({
+    "fx_eval": _EVAL_SPARK,
     "fx_prediction_long": _PREDICTION_LONG_SPARK,
     "fx_tag_full": _TAG_FULL_SPARK,
     "fx_vocab_line": _VOCAB_SPARK,
@@ -224,6 +228,7 @@ SPARK_SQL.update({
 
 DUCK_SQL = {k: _PLACEHOLDER.sub(lambda m: m.group(1), v) for k, v in _SHARED.items()}
 DUCK_SQL.update({
+    "fx_eval": _EVAL_DUCK,
     "fx_prediction_long": _PREDICTION_LONG_DUCK,
     "fx_tag_full": _TAG_FULL_DUCK,
     "fx_vocab_line": _VOCAB_DUCK,
