@@ -183,60 +183,57 @@ def pr_summary(curve: DataFrame) -> DataFrame:
 _OPENS, _CLOSES, _OUTSIDE, _SINGLE = ("B", "S"), ("E", "S"), ("O", "."), ("[", "]")
 
 
-def chunk_marks(tags: DataFrame, which: str) -> DataFrame:
-    """sent_id, pos, typ and ``opens`` / ``ends_here`` of every token of the gold or predicted tags.
+def _chunk_columns(tags: DataFrame, which: str) -> DataFrame:
+    """``tags`` with a column <which>_chunk: struct(start, end, type) at every token that opens a chunk, else null.
 
     A token goes on with the chunk of the token before if that one is inside a chunk, doesn't close it, has
     the same type, and the token itself doesn't open one or stand outside.  A token inside a chunk that
-    doesn't go on opens one; a chunk ends at the last token before one that doesn't go on.
+    doesn't go on opens one; a chunk ends at the last token before one that doesn't go on.  All windows run
+    over one order of each sentence.
     """
-    prefix, typ = parse_tag(F.col(which))
     w = Window.partitionBy("sent_id").orderBy("pos")
-    t = tags.select("sent_id", "pos", prefix.alias("pre"), typ.alias("typ"))
-    inside = ~F.col("pre").isin(*_OUTSIDE)
-    t = t.withColumns({"inside": inside, "loose": F.col("pre").isin(*_SINGLE, *_OPENS)})
-    before_goes_on = F.lag(F.col("inside") & ~F.col("pre").isin(*_CLOSES, *_SINGLE)).over(w)
-    goes_on = F.col("inside") & ~F.col("loose") & F.coalesce(before_goes_on, F.lit(False)) & (F.lag("typ").over(w) == F.col("typ"))
-    t = t.withColumn("goes_on", goes_on)
-    return t.select("sent_id", "pos", "typ", (F.col("inside") & ~F.col("goes_on")).alias("opens"),
-                    (~F.coalesce(F.lead("goes_on").over(w), F.lit(False)) & F.col("inside")).alias("ends_here"))
-
-
-def chunks(tags: DataFrame, which: str) -> DataFrame:
-    """Chunks (sent_id, start, end, type) of the gold or predicted tags: every opening token up to the next end."""
-    m = chunk_marks(tags, which)
-    ahead = Window.partitionBy("sent_id").orderBy("pos").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    m = m.withColumn("end", F.min(F.when(F.col("ends_here"), F.col("pos"))).over(ahead))
-    return m.where("opens").select("sent_id", F.col("pos").alias("start"), "end", F.col("typ").alias("type"))
+    ahead = w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    prefix, typ = parse_tag(F.col(which))
+    t = tags.withColumns({"_pre": prefix, "_typ": typ})
+    inside = ~F.col("_pre").isin(*_OUTSIDE)
+    before_open = F.lag(inside & ~F.col("_pre").isin(*_CLOSES, *_SINGLE)).over(w)
+    goes_on = (inside & ~F.col("_pre").isin(*_SINGLE, *_OPENS) & F.coalesce(before_open, F.lit(False))
+               & (F.lag("_typ").over(w) == F.col("_typ")))
+    t = t.withColumn("_on", goes_on)
+    t = t.withColumn("_last", inside & ~F.coalesce(F.lead("_on").over(w), F.lit(False)))
+    t = t.withColumn("_end", F.min(F.when(F.col("_last"), F.col("pos"))).over(ahead))
+    chunk = F.when(inside & ~F.col("_on"), F.struct(F.col("pos").alias("start"), F.col("_end").alias("end"), F.col("_typ").alias("type")))
+    return t.withColumn(f"{which}_chunk", chunk).drop("_pre", "_typ", "_on", "_last", "_end")
 
 
 def chunk_eval(tags: DataFrame) -> DataFrame:
     """EV-09: per type and overall: correct, guessed, gold chunks, precision, recall, F1; token accuracy.
 
-    ``tags``: sent_id, pos, gold, pred (one sentence per sent_id; a sentence
-    boundary acts as an O tag).  A chunk is correct when gold and predicted
-    chunks have the same start, end and type.
+    ``tags``: sent_id, pos, gold, pred (one sentence per sent_id; a sentence boundary acts as an O tag).  A
+    chunk is correct when gold and predicted chunks have the same start, end and type: as both start at one
+    token, they stand in one row, so one pass over the sentences and one aggregate by type are enough.
     """
-    g, p = chunks(tags, "gold"), chunks(tags, "pred")
-    keys = ["sent_id", "start", "end", "type"]
-    correct = g.join(p, keys, "inner").groupBy("type").agg(F.count(F.lit(1)).alias("correct"))
-    gold = g.groupBy("type").agg(F.count(F.lit(1)).alias("gold"))
-    guess = p.groupBy("type").agg(F.count(F.lit(1)).alias("guessed"))
-    by_type = gold.join(guess, "type", "full").join(correct, "type", "left").fillna(0, ["gold", "guessed", "correct"])
-    overall = by_type.agg(F.lit("__overall__").alias("type"), F.sum("gold").alias("gold"),
-                          F.sum("guessed").alias("guessed"), F.sum("correct").alias("correct"))
-    acc = tags.agg(F.count(F.lit(1)).alias("tokens"),
-                   F.sum((F.col("gold") == F.col("pred")).cast("long")).alias("correct_tags"))
-    rows = by_type.select("type", "gold", "guessed", "correct").unionByName(overall)
-    pr = safe_div(F.col("correct"), F.col("guessed"))
-    re = safe_div(F.col("correct"), F.col("gold"))
-    f = safe_div(2 * pr * re, pr + re)
-    out = rows.select("type", F.col("gold").cast("long").alias("gold"), F.col("guessed").cast("long").alias("guessed"),
-                      F.col("correct").cast("long").alias("correct"),
-                      pr.alias("precision"), re.alias("recall"), f.alias("f1"))
-    return out.join(F.broadcast(acc.select(F.lit("__overall__").alias("type"), "tokens", "correct_tags",
-                                           safe_div(F.col("correct_tags"), F.col("tokens")).alias("accuracy"))),
-                    "type", "left")
+    t = _chunk_columns(_chunk_columns(tags.select("sent_id", "pos", "gold", "pred"), "gold"), "pred")
+    same = F.coalesce(F.col("gold_chunk") == F.col("pred_chunk"), F.lit(False))
+    marks = F.array(
+        F.struct(F.col("gold_chunk.type").alias("type"), F.lit(1).alias("gold"), F.lit(0).alias("guessed"), F.lit(0).alias("correct")),
+        F.struct(F.col("pred_chunk.type").alias("type"), F.lit(0).alias("gold"), F.lit(1).alias("guessed"), same.cast("int").alias("correct")))
+    token = F.struct(F.lit(None).cast("string").alias("type"), F.lit(0).alias("gold"), F.lit(0).alias("guessed"), F.lit(0).alias("correct"))
+    rows = t.select((F.col("gold") == F.col("pred")).alias("right"),
+                    F.explode(F.concat(F.filter(marks, lambda m: m["type"].isNotNull()), F.array(token))).alias("m"))
+    is_token = F.col("m.type").isNull()
+    by_type = rows.groupBy("m.type").agg(
+        *[F.sum(f"m.{c}").alias(c) for c in ("gold", "guessed", "correct")],
+        F.count_if(is_token).alias("tokens"), F.count_if(is_token & F.col("right")).alias("correct_tags"))
+    every = by_type.agg(F.lit("__overall__").alias("type"),
+                        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("gold", "guessed", "correct", "tokens", "correct_tags")])
+    none = F.lit(None).cast("long")
+    each = by_type.where(F.col("type").isNotNull()).withColumns({"tokens": none, "correct_tags": none})
+    pr, re = safe_div(F.col("correct"), F.col("guessed")), safe_div(F.col("correct"), F.col("gold"))
+    out = each.unionByName(every)
+    return out.select("type", *[F.col(c).cast("long").alias(c) for c in ("gold", "guessed", "correct")], pr.alias("precision"),
+                      re.alias("recall"), safe_div(2 * pr * re, pr + re).alias("f1"), "tokens", "correct_tags",
+                      F.when(F.col("tokens").isNotNull(), safe_div(F.col("correct_tags"), F.col("tokens"))).alias("accuracy"))
 
 
 def token_tag_rows(lines: DataFrame, delimiter: str | None = None, boundary: str = "-X-") -> DataFrame:
