@@ -277,8 +277,11 @@ def parse_run_results(lines: DataFrame, file_col: str = "file_name", order_col:
     m = lines.where((F.get(words, F.lit(0)) == "TEST-RESULT") & (F.size(words) == 1 + 2 * len(_RUN_FIELDS)))
     m = m.select(file_col, order_col, pairs.alias("pairs"))
     m = m.where(F.size(F.array_distinct(F.transform("pairs", lambda p: p["name"]))) == len(_RUN_FIELDS))
-    m = m.withColumn("of", F.map_from_entries("pairs"))
-    m = m.select(file_col, order_col, *[F.try_element_at("of", F.lit(name)).alias(c) for c, name in _RUN_FIELDS.items()])
+
+    def value(name: str) -> Column:
+        return F.get(F.filter("pairs", lambda p: p["name"] == name), F.lit(0))["value"]
+
+    m = m.select(file_col, order_col, *[value(name).alias(c) for c, name in _RUN_FIELDS.items()])
     good = F.lit(True)
     for c in _RUN_FIELDS:
         good = good & F.col(c).isNotNull()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("lists", "corpus", "context", "metrics", "features", "textstats", "qa", "streaming", "pretrain", "model")
+_MODULES = ("lists", "corpus", "context", "metrics", "features", "textstats", "qa", "streaming", "pretrain", "model", "files")
 
 
 def _load():

@@ -41,6 +41,9 @@ _SHARES = (("s_type", "w_target"), (_OTHER_A, "w_a"), (_OTHER_B, "w_b"), (_OTHER
 _PREDICTION_LONG_SPARK = _PREDICTION_MENTION + (
     "SELECT doc_id, ann_id, name, s_type, class, p FROM t LATERAL VIEW inline(array("
     + ", ".join(f"named_struct('class', {c}, 'p', {w}/tot)" for c, w in _SHARES) + ")) e AS class, p")
+# The same rows, one per mention with a map of its probabilities (as a prediction file has them).
+_PREDICTION_ROW_SPARK = _PREDICTION_MENTION + (
+    "SELECT doc_id, ann_id, name, s_type, map(" + ", ".join(f"{c}, {w}/tot" for c, w in _SHARES) + ") AS probs FROM t")
 _PREDICTION_LONG_DUCK = _PREDICTION_MENTION.replace("{lineitem}", "lineitem") + " UNION ALL ".join(
     f"SELECT doc_id, ann_id, name, s_type, {c} AS class, {w}/tot AS p FROM t" for c, w in _SHARES)
 
@@ -219,6 +222,7 @@ SPARK_SQL = dict(_SHARED)
 SPARK_SQL.update({
     "fx_eval": _EVAL_SPARK,
     "fx_prediction_long": _PREDICTION_LONG_SPARK,
+    "fx_prediction_row": _PREDICTION_ROW_SPARK,
     "fx_tag_full": _TAG_FULL_SPARK,
     "fx_vocab_line": _VOCAB_SPARK,
     "fx_token_tag": _TOKEN_TAG_SPARK,
