@@ -86,11 +86,9 @@ ORACLE = {
     "top_words": _WF + ' SELECT * FROM wf ORDER BY "count" DESC, word DESC LIMIT 21',
     "word_line_counts": duck_with("fx_word") + r""",
 tw AS (SELECT word FROM fx_word ORDER BY n DESC, word DESC LIMIT 51),
-ln AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
-ln2 AS (SELECT row_number() OVER () AS lid, lower(line) AS line FROM ln)
-SELECT tw.word, count(*) AS "count" FROM tw JOIN ln2
-  ON regexp_matches(ln2.line, '(^|[^\p{L}\p{N}_])' || tw.word || '([^\p{L}\p{N}_]|$)')
-GROUP BY tw.word""",
+ln AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS line_no FROM documents),
+rw AS (SELECT DISTINCT doc_id, line_no, unnest(string_split_regex(lower(line), '[^\p{L}\p{N}_]+')) AS word FROM ln)
+SELECT word, count(*) AS "count" FROM rw JOIN tw USING (word) GROUP BY word""",
     "phrase_counts": _MEN + " SELECT * FROM gold",
     "error_ratios": _MEN + """
 SELECT e.type, e.phrase, e."count" AS errors, g."count" AS gold, e."count" / g."count" AS ratio
