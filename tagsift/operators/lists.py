@@ -124,15 +124,16 @@ def merge_lists(curated: DataFrame, auto: DataFrame, keys: Sequence[str]) -> Dat
         F.max_by("flag", F.struct(F.col("_prio"), F.when(F.col("flag") == ALLOW, 1).otherwise(0))).alias("flag"))
 
 
-def apply_lists(mentions: DataFrame, global_rows: DataFrame, local_rows: DataFrame) -> DataFrame:
+def apply_lists(mentions: DataFrame, global_rows: DataFrame, local_rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """JN-13: drop mentions whose name is blocked; a local (name, doc) row overrides the global one.
 
     ``global_rows``: name, flag; ``local_rows``: name, doc_id, flag (t = block,
     f = allow).  Both lists are deduplicated to one decision per key first (an
     allow beats a block on a clash), so the joins cannot multiply mentions.
+    ``by``: further columns that all three share (for example a list variant).
     """
-    g = global_rows.groupBy("name").agg(F.min(F.col("flag") == BLOCK).alias("g_block"))
-    loc = local_rows.groupBy("name", "doc_id").agg(F.min(F.col("flag") == BLOCK).alias("l_block"))
-    j = mentions.join(g, "name", "left").join(loc, ["name", "doc_id"], "left")
+    g = global_rows.groupBy(*by, "name").agg(F.min(F.col("flag") == BLOCK).alias("g_block"))
+    loc = local_rows.groupBy(*by, "name", "doc_id").agg(F.min(F.col("flag") == BLOCK).alias("l_block"))
+    j = mentions.join(g, [*by, "name"], "left").join(loc, [*by, "name", "doc_id"], "left")
     return j.where(~F.coalesce(F.col("l_block"), F.col("g_block"), F.lit(False))) \
             .drop("g_block", "l_block")

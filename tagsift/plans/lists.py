@@ -129,6 +129,23 @@ def q_applied(spark, sf):
     return ls.apply_lists(mentions, g, loc)
 
 
+def q_variants(spark, sf):
+    """Q-VARIANT: mentions that survive no list, the curated, the automatic and the merged lists, side by side."""
+    auto_l, auto_g = _lists(spark, sf)
+    cur_g, cur_l = fixture(spark, sf, "fx_curated_global"), fixture(spark, sf, "fx_curated_local")
+    sides = {"curated": (cur_g, cur_l), "auto": (auto_g, auto_l),
+             "merged": (ls.merge_lists(cur_g, auto_g, ["name"]), ls.merge_lists(cur_l, auto_l, ["name", "doc_id"]))}
+    both: list = [None, None]
+    for variant, rows in sides.items():
+        for k, cols in enumerate((["name", "flag"], ["name", "doc_id", "flag"])):
+            one = rows[k].select(F.lit(variant).alias("variant"), *cols)
+            both[k] = one if both[k] is None else both[k].unionByName(one)
+    names = F.array(*[F.lit(v) for v in ("none", *sides)])
+    mentions = predictions(spark, sf).where(F.col("class") == F.col("s_type")) \
+        .select(F.explode(names).alias("variant"), "doc_id", "ann_id", "name", "s_type")
+    return ls.apply_lists(mentions, *both, by=["variant"])
+
+
 QUERIES = {
     "local_evidence": q_local,
     "local_evidence_default": q_local_default,
@@ -146,6 +163,7 @@ QUERIES = {
     "merged_global": q_merged_global,
     "merged_local": q_merged_local,
     "applied_mentions": q_applied,
+    "list_variants": q_variants,
 }
 
 # ---------------------------------------------------------------------------
@@ -264,6 +282,20 @@ WHERE NOT coalesce(lb.l_block, gb.g_block, false)""",
 }
 
 
+ORACLE["list_variants"] = _MERGED + """,
+gv AS (SELECT 'curated' AS variant, name, flag FROM fx_curated_global UNION ALL SELECT 'auto', name, flag FROM auto_global
+       UNION ALL SELECT 'merged', name, flag FROM mg),
+lv AS (SELECT 'curated' AS variant, name, doc_id, flag FROM fx_curated_local UNION ALL SELECT 'auto', name, doc_id, flag FROM auto_local
+       UNION ALL SELECT 'merged', name, doc_id, flag FROM ml),
+mention AS (SELECT variant, doc_id, ann_id, name, s_type FROM fx_prediction_long, (VALUES ('none'), ('curated'), ('auto'), ('merged')) v(variant)
+            WHERE class = s_type),
+gb AS (SELECT variant, name, min(flag = 't') AS g_block FROM gv GROUP BY variant, name),
+lb AS (SELECT variant, name, doc_id, min(flag = 't') AS l_block FROM lv GROUP BY variant, name, doc_id)
+SELECT m.* FROM mention m LEFT JOIN gb ON m.variant = gb.variant AND m.name = gb.name
+LEFT JOIN lb ON m.variant = lb.variant AND m.name = lb.name AND m.doc_id = lb.doc_id
+WHERE NOT coalesce(lb.l_block, gb.g_block, false)"""
+
+
 def _verbose_oracle() -> str:
     qs = ", ".join(f"pow(10, s_{c} - m) / den AS q_{c}" for c in ev.CLASSES)
     best = "greatest(" + ", ".join(f"q_{c}" for c in ev.CLASSES) + ")"
