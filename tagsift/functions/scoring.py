@@ -18,12 +18,6 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def log10_or_floor(p) -> Column:
-    """log10(p), or LOG10_ZERO when p is not positive (AGG-04)."""
-    p = _c(p)
-    return F.when(p > 0, F.log10(p)).otherwise(F.lit(LOG10_ZERO))
-
-
 def odds_ratio(global_p, local_p, invert: bool = False) -> Column:
     """FN-10: l*g / ((1-l)(1-g)); +inf when the denominator is 0.
 
@@ -85,12 +79,6 @@ def safe_div(num, den) -> Column:
     return F.coalesce(F.try_divide(_c(num), _c(den)), F.lit(0.0))
 
 
-def argmax_index(arr) -> Column:
-    """FN-19: 0-based index of the first maximum of an array."""
-    a = _c(arr)
-    return F.array_position(a, F.array_max(a)) - 1
-
-
 def softmax(arr) -> Column:
     """FN-20: numerically stable softmax of an array of doubles."""
     a = _c(arr)

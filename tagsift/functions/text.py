@@ -19,12 +19,6 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def escape_text_parts(parts) -> Column:
-    """FN-01: double every backslash, join the parts with a literal backslash-t."""
-    return F.array_join(F.transform(_c(parts), lambda s: F.replace(s, F.lit("\\"), F.lit("\\\\"))),
-                        TAB_ESCAPE)
-
-
 def unescape_text(text) -> Column:
     """FN-02: backslash-t -> TAB (unless the backslash is itself escaped), \\\\ -> \\, TAB -> space.
 
@@ -41,75 +35,6 @@ def normalize_space(s) -> Column:
     return F.trim(F.regexp_replace(_c(s), WS_CLASS + "+", " "))
 
 
-def span_text(text, start, end) -> Column:
-    """FN-03: text[start:end] with 0-based, end-exclusive code-point offsets."""
-    return _c(text).substr(_c(start) + 1, _c(end) - _c(start))
-
-
-def word_positions(tokens) -> Column:
-    """0-based positions of the word tokens (those with a letter or digit)."""
-    idx = F.transform(_c(tokens), lambda x, i: F.when(x.rlike(WORD_RE), i))
-    return F.filter(idx, lambda x: x.isNotNull())
-
-
-def token_mask(s) -> Column:
-    """One character per space-separated token of a normalised string: 'W' word, '.' other.
-
-    Two whole-string regex passes (JVM-side, no per-token lambda): tokens
-    without letters or digits become '.', then tokens with one become 'W'.
-    """
-    m = F.regexp_replace(_c(s), r"(?<![^ ])[^ \p{L}\p{N}]+(?![^ ])", ".")
-    m = F.regexp_replace(m, r"[^ ]*[\p{L}\p{N}][^ ]*", "W")
-    return F.replace(m, F.lit(" "), F.lit(""))
-
-
-def _tokens_for_words(mask: Column, n: int) -> Column:
-    """Number of leading mask characters up to and including the n-th 'W' (0 if fewer words)."""
-    return F.length(F.regexp_extract(mask, r"^(?:\.*W){%d}" % n, 0))
-
-
-def words_cut(s, mask, n: int, from_end: bool) -> tuple[Column, Column]:
-    """(kept tokens joined, enough words?) for a normalised string and its token mask.
-
-    Keeps the tokens up to and including the n-th word (from the end with
-    ``from_end``), or all tokens when there are fewer than n words.
-    """
-    t = F.split(_c(s), " ")
-    k = _tokens_for_words(F.reverse(_c(mask)) if from_end else _c(mask), n)
-    keep = F.when(k > 0, k).otherwise(F.size(t))
-    first = F.size(t) - keep + 1 if from_end else F.lit(1)
-    return F.array_join(F.slice(t, first, keep), " "), k > 0
-
-
-def first_words(s, n: int) -> Column:
-    """FN-08: the tokens of a normalised string up to and including its n-th word token.
-
-    Tokens without letters or digits are kept but not counted; with fewer than
-    n words the whole string is kept.
-    """
-    if n <= 0:
-        return F.lit("")
-    t = F.split(_c(s), " ")
-    k = _tokens_for_words(token_mask(s), n)
-    return F.array_join(F.slice(t, F.lit(1), F.when(k > 0, k).otherwise(F.size(t))), " ")
-
-
-def last_words(s, n: int) -> Column:
-    """FN-08 from the end: the tokens from the n-th word token counted from the end."""
-    if n <= 0:
-        return F.lit("")
-    t = F.split(_c(s), " ")
-    k = _tokens_for_words(F.reverse(token_mask(s)), n)
-    keep = F.when(k > 0, k).otherwise(F.size(t))
-    return F.array_join(F.slice(t, F.size(t) - keep + 1, keep), " ")
-
-
-def has_words(s, n: int, from_end: bool = False) -> Column:
-    """True when a normalised string has at least n word tokens."""
-    m = token_mask(s)
-    return _tokens_for_words(F.reverse(m) if from_end else m, n) > 0
-
-
 def parse_tag(tag) -> tuple[Column, Column]:
     """FN-23: 'B-TYPE' -> ('B', 'TYPE'), split at the first '-'; no '-' -> (tag, '')."""
     t = _c(tag)

@@ -112,31 +112,6 @@ def piece_ids(pieces: DataFrame, vocab: DataFrame) -> DataFrame:
     return pieces.join(g.select("word", F.transform("_p", lambda s: s["id"]).alias("ids")), "word", "left")
 
 
-def tokenize_texts(texts: DataFrame, key: str, cols, pieces: DataFrame, lower: bool = False,
-                   values=("pieces", "ids")) -> DataFrame:
-    """Word pieces (and ids) of text columns: (key, <col>_<value> ...), in text order.
-
-    Basic tokens are exploded with their position, joined to the distinct-word
-    piece table, and gathered back per (key, column) -- a bounded group.
-    """
-    cols, values = list(cols), list(values)
-    long = None
-    for c in cols:
-        part = texts.select(key, F.lit(c).alias("_col"),
-                            F.posexplode(basic_tokens(F.col(c), lower)).alias("_pos", "word"))
-        long = part if long is None else long.unionByName(part)
-    j = long.join(pieces.select("word", *values), "word", "left")
-    g = j.groupBy(key, "_col").agg(F.array_sort(F.collect_list(F.struct("_pos", *values))).alias("_p"))
-    def field(v):
-        return lambda s: s[v]
-    g = g.select(key, "_col", *[F.flatten(F.transform("_p", field(v))).alias(v) for v in values])
-    wide = g.groupBy(key).agg(*[F.max(F.when(F.col("_col") == c, F.col(v))).alias(f"{c}_{v}")
-                                for c in cols for v in values])
-    out = texts.select(key).join(wide, key, "left")
-    return out.select(key, *[F.coalesce(F.col(f"{c}_{v}"), F.array().cast(g.schema[v].dataType)).alias(f"{c}_{v}")
-                             for c in cols for v in values])
-
-
 def token_rows(texts: DataFrame, key: str, cols, lower: bool = False, carry=()) -> DataFrame:
     """Basic tokens of several text columns as rows: (key, *carry, part, pos, word); part = column number."""
     parts = F.array(*[F.struct(F.lit(i).alias("part"), F.col(c).alias("txt")) for i, c in enumerate(cols)])
@@ -186,12 +161,6 @@ def span_layout(left, span, right, max_seq_length: int, replace_span=None,
     return F.concat(toks, F.array_repeat(F.lit(pad), F.lit(max_seq_length) - F.size(toks)))
 
 
-def to_ids(tokens, vocab_map) -> Column:
-    """TOK-06: tokens -> ids through a token->id map column; an unknown token raises."""
-    return F.transform(_c(tokens), lambda t: F.coalesce(
-        F.try_element_at(vocab_map, t), F.raise_error(F.concat(F.lit("token not in vocabulary: "), t))))
-
-
 def input_mask(tokens, pad=PAD) -> Column:
     """FEAT-02: 1 for every token except [PAD] (token or id)."""
     return F.transform(_c(tokens), lambda t: F.when(t == F.lit(pad), 0).otherwise(1))
@@ -226,10 +195,6 @@ def single_layout(a, max_seq_length: int) -> tuple[Column, Column]:
     return toks, F.array_repeat(F.lit(0), F.size(toks))
 
 
-def pad_to(arr, length: int, value) -> Column:
-    return F.concat(_c(arr), F.array_repeat(F.lit(value), F.lit(length) - F.size(_c(arr))))
-
-
 def label_id(label, classes: Sequence[str]) -> Column:
     """SRC-12 / FEAT-05: index of a label in the sorted label list (a parameter); an unknown label raises."""
     names = sorted(classes)

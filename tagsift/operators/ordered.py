@@ -71,12 +71,6 @@ def global_running(df: DataFrame, order: Sequence[str], sum_cols: Sequence[str]
     return out
 
 
-def kth_smallest(df: DataFrame, value: str, ks: DataFrame, tiebreak: Sequence[str] = ()) -> DataFrame:
-    """For each row of ``ks`` (columns name, k), the k-th smallest ``value`` (1-based), distributed."""
-    r = global_running(df.select(value, *tiebreak), [value, *tiebreak], with_rank=True)
-    return ks.join(r.select(F.col("rank").alias("k"), value), "k", "left")
-
-
 def ntile_by_rank(rank, n_rows, n: int):
     """WIN-04: contiguous shard of a 1-based rank; the first n_rows % n shards get one more row.
 
