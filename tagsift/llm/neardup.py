@@ -16,8 +16,9 @@ every member is confirmed against one pivot, the bucket's smallest member it sha
 against its other pivots, and after each round components are formed.  A bucket whose members are all in
 one component has nothing left to find.  In the others, members outside the bucket's largest component
 are compared with all members of other components, which covers every pair of the bucket that could still
-join two components.  So no link that could change a component is lost, and the pairs follow the members
-of a large group rather than their square.
+join two components.  So no link that could change a component is lost.  In large buckets that comparison
+is made on wide signatures, block by block, and only near pairs leave a block; what is compared there still
+grows with outsiders times members, which nothing exact avoids when very many texts are just too far apart.
 
 Scale: texts are read by the signature pass and by one semi-join that picks the candidates' texts (a
 broadcast only if the counted ids are few); keys are 16-byte rows, shuffled with partial minima; hot
@@ -39,7 +40,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagsift.llm.components import components
@@ -52,6 +53,10 @@ CHUNK_ERRORS = 1
 SYMBOLS = CHUNKS * CHUNK_SYMBOLS
 SYMBOL_BITS = 16
 SKETCH_ERRORS = 24              # of 64 one-bit symbols; at similarity 0.8 more differ with odds under 1 in 10 million
+WIDE_BITS = 2048                # one-bit symbols compared in large buckets; similar pairs differ in a tenth at most,
+WIDE_ERRORS = 270               # in more than 270 (five deviations) with odds of 1 in a million
+SMALL_BUCKET = 16               # members of a bucket whose open pairs are made by a plain join
+BLOCK = 1024
 PERCENT = 80
 BROADCAST_IDS = 2_000_000       # candidate ids (8 bytes each) that may be broadcast
 _CHARS_AT_ONCE = 1_000_000
@@ -59,6 +64,7 @@ _U = np.uint64
 
 _RNG = np.random.default_rng(20_240_501)
 _MULTIPLIERS = _RNG.integers(0, 2**63, SYMBOLS, dtype=np.uint64) * _U(2) + _U(1)
+_WIDE_MULTIPLIERS = _RNG.integers(0, 2**63, WIDE_BITS, dtype=np.uint64) * _U(2) + _U(1)
 _KEEP = [c for c in combinations(range(CHUNK_SYMBOLS), CHUNK_SYMBOLS - CHUNK_ERRORS)]
 
 
@@ -90,6 +96,17 @@ def sketch(sigs: np.ndarray) -> np.ndarray:
     return np.packbits((sigs[:, :64] & 1).astype(np.uint8), axis=1).view(">u8").astype(np.uint64).view(np.int64).ravel()
 
 
+def wide_bits(sets: list[np.ndarray]) -> list[bytes]:
+    """One bit of each of WIDE_BITS MinHash values of every set (of an empty set: zeros)."""
+    out = np.zeros((len(sets), WIDE_BITS), np.uint8)
+    for row, own in zip(out, sets):
+        step = max(1, 64_000 // max(1, len(own)))          # products that fit a core's cache
+        for at in range(0, WIDE_BITS if len(own) else 0, step):
+            least = (own[:, None] * _WIDE_MULTIPLIERS[None, at:at + step]).min(axis=0)
+            row[at:at + step] = (mix(least) >> _U(63)).astype(np.uint8)
+    return [np.packbits(row).tobytes() for row in out]
+
+
 def _slices(texts: list) -> Iterator[tuple[int, int]]:
     at = 0
     while at < len(texts):
@@ -138,6 +155,67 @@ def _confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch.loc[keep, ["u", "v"]]
 
 
+def _wide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        texts = batch["text"].tolist()
+        for at, to in _slices(texts):
+            yield pd.DataFrame({"v": batch["v"].iloc[at:to].to_numpy(), "wide": wide_bits(pair_sets(texts[at:to]))})
+
+
+def _block_pairs(group: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    """Pairs of a block of outsiders and a block of members whose wide signatures are near.
+
+    A pair that shares several keys is made only in the bucket of its first one.
+    """
+    sigs = np.frombuffer(b"".join(rows["signature"]), np.uint16).reshape(-1, SYMBOLS)
+    wide = np.frombuffer(b"".join(rows["wide"]), np.uint64).reshape(-1, WIDE_BITS // 64)
+    v, c = rows["v"].to_numpy(), rows["c_v"].to_numpy()
+    here = int(np.flatnonzero(chunk_keys(sigs[:1])[0] == group[0])[0])
+    members = np.flatnonzero(~rows["outsider"].to_numpy())
+    out = []
+    for o in np.flatnonzero(rows["outsider"].to_numpy()):
+        far = np.bitwise_count(wide[members] ^ wide[o]).sum(axis=1)
+        near = members[(far <= WIDE_ERRORS) & (c[members] != c[o])]
+        if len(near):
+            wrong = (sigs[near] != sigs[o]).reshape(-1, CHUNKS, CHUNK_SYMBOLS)
+            errors = wrong.sum(axis=2)
+            chunk = (errors <= CHUNK_ERRORS).argmax(axis=1)
+            # Ways to leave out CHUNK_ERRORS symbols, in the order of the keys; the first that leaves out the errors.
+            of = wrong[np.arange(len(near)), chunk]
+            way = np.array([[not e[list(keep)].any() for keep in _KEEP] for e in of]).argmax(axis=1)
+            near = near[chunk * len(_KEEP) + way == here]
+            out.append(np.stack([np.minimum(v[near], v[o]), np.maximum(v[near], v[o])], axis=1))
+    pairs = np.concatenate(out) if out else np.empty((0, 2), np.int64)
+    return pd.DataFrame({"u": pairs[:, 0], "v": pairs[:, 1]})
+
+
+def _large_pairs(rows: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Candidate pairs (u, v) of large open buckets: every outsider against every member of another component.
+
+    ``rows``: key, v, c_v, top, size, inside.  The signatures are compared in blocks of BLOCK outsiders by BLOCK
+    members, so a task holds two blocks however large a bucket is, and a hot bucket spreads over many tasks.
+    """
+    needed = written(rows.select("v").distinct(), "large-bucket-ids")
+    few = needed.count() <= BROADCAST_IDS
+    wide = texts.join(F.broadcast(needed) if few else needed, "v", "left_semi").mapInPandas(_wide, "v long, wide binary")
+    marks = written(wide.join(classes.select("v", "signature"), "v"), "wide-signatures")
+    # A document's keys (one per way of its signature at most) travel as one list, so its marks join it once.
+    lists = rows.groupBy("v").agg(F.collect_list(F.struct("key", "c_v", "top", "size", "inside")).alias("at"))
+    rows = lists.join(marks, "v").select("v", "signature", "wide", F.explode("at").alias("at")).select(
+        "v", "signature", "wide", "at.*").withColumns({"_o": F.ceil((F.col("size") - F.col("inside")) / BLOCK).cast("int"),
+                                              "_m": F.ceil(F.col("size") / BLOCK).cast("int")})
+    keep = ["key", "v", "c_v", "signature", "wide"]
+
+    def every(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+    members = rows.select(*keep, F.lit(False).alias("outsider"), every("_o").alias("i"),
+                          F.pmod(F.xxhash64("v"), F.col("_m")).cast("int").alias("j"))
+    outsiders = rows.where("c_v <> top").select(*keep, F.lit(True).alias("outsider"),
+                                                F.pmod(F.xxhash64("v"), F.col("_o")).cast("int").alias("i"), every("_m").alias("j"))
+    return members.unionByName(outsiders).groupBy("key", "i", "j").applyInPandas(_block_pairs, "u long, v long")
+
+
 class _Links:
     """The confirmed links so far and their components."""
 
@@ -154,12 +232,14 @@ class _Links:
                 df = df.join(own, c, "left").withColumn(f"c_{c}", F.coalesce("_c", c)).drop("_c")
         return df
 
-    def add(self, pairs: DataFrame, name: str) -> None:
-        """Confirm the candidate pairs (u, v) that lie in different components."""
+    def add(self, pairs: DataFrame, name: str, near_pairs: DataFrame | None = None) -> None:
+        """Confirm the candidate pairs (u, v) that lie in different components; ``near_pairs`` are known to be near."""
         s = self.sketches
         near = (pairs.join(s.select(F.col("v").alias("u"), F.col("sketch").alias("a")), "u")
                 .join(s.select("v", F.col("sketch").alias("b")), "v")
                 .where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= SKETCH_ERRORS).select("u", "v"))
+        if near_pairs is not None:
+            near = near.unionByName(near_pairs).distinct()
         near = self.labelled(near, "u", "v").where("c_u <> c_v").select("u", "v")
         t = self.texts
         both = (near.join(t.select(F.col("v").alias("u"), F.col("text").alias("u_text")), "u")
@@ -196,12 +276,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     placed = links.labelled(members.select("key", "v"), "v")
     counts = placed.groupBy("key", "c_v").agg(F.count(F.lit(1)).alias("n"))
     largest = counts.groupBy("key").agg(F.max_by("c_v", F.struct("n", -F.col("c_v"))).alias("top"),
+                                        F.sum("n").alias("size"), F.max("n").alias("inside"),
                                         F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    open_ = written(placed.join(largest.select("key", "top"), "key"), "open-buckets")
-    outside = open_.where("c_v <> top").select("key", F.col("v").alias("u"), F.col("c_v").alias("c_u"))
-    rest = open_.join(outside, "key").where("c_u <> c_v").select(
-        F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    links.add(rest, "links-rest")
+    open_ = written(placed.join(largest.drop("parts"), "key"), "open-buckets")
+    outside = open_.where((F.col("size") <= SMALL_BUCKET) & (F.col("c_v") != F.col("top"))).select(
+        "key", F.col("v").alias("u"), F.col("c_v").alias("c_u"))
+    rest = open_.where(F.col("size") <= SMALL_BUCKET).join(outside, "key").where("c_u <> c_v").select(
+        F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    large = _large_pairs(open_.where(F.col("size") > SMALL_BUCKET), classes, texts)
+    links.add(rest.distinct(), "links-rest", large)
 
     out = signed.join(classes.select("class", "v"), "class", "left")
     out = links.labelled(out, "v")

@@ -83,3 +83,18 @@ def test_every_pair_under_the_distance_shares_a_key():
         places = rng.choice(neardup.SYMBOLS, most, replace=False)
         row[places] ^= rng.integers(1, 1 << 16, most).astype(np.uint16)
     assert (neardup.chunk_keys(a) == neardup.chunk_keys(b)).any(axis=1).all()
+
+
+def test_large_buckets_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "SMALL_BUCKET", 2)
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    rng = random.Random(8)
+    vocab = [f"w{i}" for i in range(3000)]
+    base, rows = rng.choices(vocab, k=120), []
+    for k in range(80):                          # copies of one text, edited from lightly to too much
+        words = list(base)
+        for _ in range(rng.randint(0, 14)):
+            words[rng.randrange(120)] = rng.choice(vocab)
+        rows.append((k, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    check(neardup.near_duplicates(df).collect(), rows)
