@@ -41,8 +41,8 @@ from tagsift.llm.shared import written
 from tagsift.llm.shingles import mix, word_hashes
 
 DEPTH = 2
-BLOCK_CHARS = 8_000_000
-RANGE_SLOTS = 4_000_000         # counters merged by one task, on average
+BLOCK_CHARS = 4_000_000
+RANGE_SLOTS = 2_000_000         # counters merged by one task, on average
 LOAD = 8                        # counters of a row per word, at least
 _NO_KEY = 2**63 - 1
 _U = np.uint64

@@ -23,7 +23,7 @@ def plain(rows, size):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("block_chars, range_slots", [(8_000_000, 4_000_000), (700, 300)])
+@pytest.mark.parametrize("block_chars, range_slots", [(4_000_000, 2_000_000), (700, 300)])
 def test_against_plain_grouping(spark, monkeypatch, block_chars, range_slots):
     # Small blocks and ranges take every path that large inputs take; tasks see the patched values by closure.
     monkeypatch.setattr(substrings, "RANGE_SLOTS", range_slots)
