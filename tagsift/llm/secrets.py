@@ -6,14 +6,19 @@ each kind leftmost and non-overlapping, ends exclusive, in code points.
 
 Models: first-order character chains of random strings and of ordinary identifiers, compared by their
 log-likelihood ratio per transition.  Both are trained on labelled samples: the values that the
-patterns found are labelled random; words of letters in documents without such a value are labelled
-ordinary, of which one hash value in ``sample_share`` is taken, at every size.  Each distinct string
-counts once.  The chains have ``len(ALPHABET) ** 2`` cells, which is all that reaches the driver.  A token that no base
-span touches and whose ratio is over ``min_ratio`` adds a span of kind ``markov``.
+patterns found are labelled random; all runs of CHARACTER that no base span touches, digits and
+separators included, are labelled ordinary (of one hash value in ``sample_share``, by default of all).
+Each distinct string counts once.  Tokens long enough to be scored may be unlabelled keys, so those that the
+chains find nearer to random by the shorter ones alone don't train the ordinary chain.  Every row of a chain leans on
+a fixed base (random: all characters alike; ordinary: mostly the class of the character before) and keeps a
+fixed share of it however large the counts are, so a character that never occurred costs the same at every
+size of the input.  The chains have ``len(ALPHABET) ** 2`` cells, which is all that reaches the driver.  A token that
+no base span touches and whose ratio is over ``min_ratio`` adds a span of kind ``markov``.
 
 Scale: one pass over the texts finds the patterns (three regular expressions, split and extract, only
-where the text has a match); the training pass sums transitions before it shuffles, and there are at
-most a few thousand distinct ones; scoring is one expression against a literal array.
+where the text has a match); the training pass takes distinct tokens of each text, then of all texts, by a
+hash aggregate, and sums transitions before it shuffles, of which there are at most a few thousand distinct
+ones; scoring is one expression against a literal array.
 
 Cases: a null text is empty and has no spans; long texts are read whole; repeated rows are scanned each
 on its own; without labelled samples on both sides the models say nothing and only base spans are
@@ -28,7 +33,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tagsift.llm.shared import SPACE_CHARS, bind
+from tagsift.llm.shared import bind, written
 
 # The patterns of the three kinds.
 ASSIGN = "(?i)(password|passwd|secret|token|api_?key)[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
@@ -40,8 +45,13 @@ ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-"
 CHARACTER = "[A-Za-z0-9+/_-]"
 TOKEN_CHARS = 20                # shorter tokens aren't scored
 TOKEN = f"{CHARACTER}{{{TOKEN_CHARS},}}"
-SAMPLE_SHARE = 64               # of the hash values of ordinary words, one in so many is sampled
+HIT = "\uffff"                  # stands for a base span when tokens are cut
+SAMPLE_SHARE = 1                # of the hash values of ordinary tokens, one in so many is sampled: all
 PRIOR_WEIGHT = 20.0             # smoothing of a chain's rows, in observations
+CLASS_SIZES = [26, 26, 10, 4]   # of ALPHABET: lower case, upper case, digits, separators
+CLASS_STEPS = [[0.80, 0.05, 0.05, 0.10], [0.40, 0.40, 0.05, 0.15], [0.05, 0.05, 0.70, 0.20], [0.40, 0.20, 0.35, 0.05]]
+CLASS_SHARE = 0.4               # of the ordinary base, so much follows CLASS_STEPS, the rest the single characters
+KEPT = {"random": 0.5, "ordinary": 0.05}    # share of its base that every row of a chain keeps
 MIN_RATIO = 1.0                 # nats per transition
 
 
@@ -84,50 +94,83 @@ def scan_base(docs: DataFrame, keep: list[str] | None, text: str) -> DataFrame:
     return rows.withColumn("spans", base_spans(F.col("text")))
 
 
-def _transitions(strings: DataFrame, label: str) -> DataFrame:
-    """Counts of neighbouring characters of the distinct strings ``s``."""
-    pairs = F.transform(F.sequence(F.lit(1), F.length("s") - 1), lambda i: F.substring(F.col("s"), i, F.lit(2)))
+def _pairs(s: Column) -> Column:
+    """All neighbouring characters of a string, in order."""
+    return F.regexp_extract_all(s, F.lit("(?s)(?=(..))"), F.lit(1))
+
+
+def _transitions(samples: DataFrame) -> DataFrame:
+    """Counts of neighbouring characters of the samples, by label."""
     known = F.rlike("pair", F.lit(f"^{CHARACTER}{{2}}$"))
-    return (strings.distinct().where(F.length("s") >= 2).select(F.explode(pairs).alias("pair")).where(known)
-            .groupBy("pair").agg(F.count(F.lit(1)).alias("n")).withColumn("label", F.lit(label)))
+    pairs = samples.select("label", F.explode(_pairs(F.col("s"))).alias("pair")).groupBy("label", "pair")
+    return pairs.agg(F.count(F.lit(1)).alias("n")).where(known)
 
 
-def _chain(counts: list[int], n: int) -> list[float]:
-    """Log probabilities of a chain: each row leans on the single characters' shares with weight PRIOR_WEIGHT."""
+def _collected(counted: DataFrame, table: dict[str, list[int]]) -> None:
+    """Add the counts to those of their label."""
+    for r in counted.collect():                  # at most 2 * n * n rows
+        table[r["label"]][ALPHABET.index(r["pair"][0]) * len(ALPHABET) + ALPHABET.index(r["pair"][1])] += r["n"]
+
+
+def _base(counts: list[int], label: str) -> list[float]:
+    """The fixed distribution that a chain's rows lean on, row by row (of ordinary tokens in part the characters' shares)."""
+    n = len(ALPHABET)
+    if label == "random":
+        return [1 / n] * (n * n)
+    of = [k for k, size in enumerate(CLASS_SIZES) for _ in range(size)]
     total = sum(counts) + n / 2
     single = [(sum(counts[j::n]) + 0.5) / total for j in range(n)]
+    return [CLASS_SHARE * CLASS_STEPS[of[i]][of[j]] / CLASS_SIZES[of[j]] + (1 - CLASS_SHARE) * single[j]
+            for i in range(n) for j in range(n)]
+
+
+def _chain(counts: list[int], label: str) -> list[float]:
+    """Log probabilities of a chain: each row leans on its base with weight PRIOR_WEIGHT, and keeps a share of it."""
+    n, base, kept = len(ALPHABET), _base(counts, label), KEPT[label]
     out = []
     for i in range(n):
-        row = counts[i * n:(i + 1) * n]
-        out += [math.log((row[j] + PRIOR_WEIGHT * single[j]) / (sum(row) + PRIOR_WEIGHT)) for j in range(n)]
+        row = slice(i * n, (i + 1) * n)
+        whole = sum(counts[row]) + PRIOR_WEIGHT
+        out += [math.log((1 - kept) * (c + PRIOR_WEIGHT * b) / whole + kept * b) for c, b in zip(counts[row], base[row])]
     return out
 
 
+def _samples(scanned: DataFrame, sample_share: int) -> DataFrame:
+    """Distinct strings ``s`` by label: what the patterns found, and runs of two and more of CHARACTER that no base span touches."""
+    runs = F.regexp_extract_all(redact(F.col("text"), F.col("spans"), HIT), F.lit(f"[{HIT}{CHARACTER[1:]}{{2,}}"), F.lit(0))
+    free = F.filter(F.array_distinct(runs), lambda r: ~F.contains(r, F.lit(HIT)))
+    if sample_share > 1:
+        free = F.filter(free, lambda r: F.pmod(F.xxhash64(r), F.lit(sample_share)) == 0)
+    both = F.map_from_arrays(F.array(F.lit("random"), F.lit("ordinary")), F.array(F.col("spans.value"), free))
+    return scanned.select(F.explode(both).alias("label", "all")).select("label", F.explode("all").alias("s")).distinct()
+
+
 def train(scanned: DataFrame, sample_share: int = SAMPLE_SHARE) -> list[float] | None:
     """Log-likelihood ratios of all transitions (row by row of ALPHABET), or None without samples of both kinds."""
-    random = scanned.select(F.explode("spans.value").alias("s"))
-    words = F.filter(F.split("text", f"[{SPACE_CHARS}]+"), lambda w:
-                     (F.pmod(F.xxhash64(w), F.lit(sample_share)) == 0) & F.rlike(w, F.lit("^[A-Za-z_]{6,40}$")))
-    ordinary = scanned.where(F.size("spans") == 0).select(F.explode(words).alias("s"))
-    counted = _transitions(random, "random").unionByName(_transitions(ordinary, "ordinary"))
-    n = len(ALPHABET)
-    table = {"random": [0] * (n * n), "ordinary": [0] * (n * n)}
-    for r in counted.collect():                  # at most 2 * n * n rows
-        table[r["label"]][ALPHABET.index(r["pair"][0]) * n + ALPHABET.index(r["pair"][1])] = r["n"]
-    if not any(table["random"]) or not any(table["ordinary"]):
+    table = {label: [0] * len(ALPHABET) ** 2 for label in KEPT}
+
+    def ratios() -> list[float]:
+        logs = {k: _chain(v, k) for k, v in table.items()}
+        return [r - o for r, o in zip(logs["random"], logs["ordinary"])]
+
+    samples = written(_samples(scanned, sample_share), "samples")
+    scored = (F.col("label") == "ordinary") & (F.length("s") >= TOKEN_CHARS)
+    _collected(_transitions(samples.where(~scored)), table)
+    if not any(table["random"]):
         return None
-    logs = {k: _chain(v, n) for k, v in table.items()}
-    return [r - o for r, o in zip(logs["random"], logs["ordinary"])]
+    plain = mean_ratio(F.col("s"), F.lit(ratios())) <= 0
+    _collected(_transitions(samples.where(scored).where(plain)), table)
+    return ratios() if any(table["ordinary"]) else None
 
 
 def mean_ratio(token: Column, model: Column) -> Column:
     """Mean log-likelihood ratio per transition of a token over ALPHABET."""
     n = len(ALPHABET)
 
-    def place(i: Column) -> Column:
-        return F.position(F.substring(token, i, F.lit(1)), F.lit(ALPHABET)) - 1
+    def place(pair: Column, i: int) -> Column:
+        return F.position(F.substring(pair, i, 1), F.lit(ALPHABET)) - 1
 
-    each = F.transform(F.sequence(F.lit(1), F.length(token) - 1), lambda i: F.get(model, place(i) * n + place(i + 1)))
+    each = F.transform(_pairs(token), lambda p: F.get(model, place(p, 1) * n + place(p, 2)))
     return F.aggregate(each, F.lit(0.0), lambda a, x: a + x) / (F.length(token) - 1)
 
 

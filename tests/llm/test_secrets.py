@@ -66,3 +66,23 @@ def test_models_tell_random_strings_from_identifiers(spark):
     hits = {r.doc_id: r.n for r in out}
     assert sum(hits[5000 + i] for i in range(100)) >= 95
     assert sum(hits[6000 + i] for i in range(100)) <= 2
+
+
+ORDINARY_NAMES = ["IMG_20240115_123456_HDR", "2024/01/15/some-article-title", "2023-11-30/release-notes-draft", "invoice_000123_2024-02-29",
+                  "backup-2022-07-04-weekly/part_0007", "Screenshot_2024-03-05-18-22-10", "images/2021/12/31/photo_0042"]
+
+
+def test_dated_paths_and_numbered_names_are_ordinary_at_every_size(spark):
+    rng = random.Random(11)
+    chars = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    tests = [(-1 - i, f"see {n} here") for i, n in enumerate(ORDINARY_NAMES)]
+    tests += [(-100 - i, "see " + "".join(rng.choice(chars) for _ in range(32)) + " here") for i in range(50)]
+    cards = [(10**6 + i, "card " + "".join(rng.choice("0123456789") for _ in range(16))) for i in range(150)]
+    hexes = [(2 * 10**6 + i, "sum " + "".join(rng.choice("0123456789abcdef") for _ in range(40))) for i in range(100)]
+    for words in (1_000, 60_000):                  # distinct ordinary words of letters
+        made = ["".join(rng.choice("aeiou" if k % 2 else "bcdfglmnprst") for k in range(rng.randint(6, 12))) for _ in range(words)]
+        prose = [(i, " ".join(made[i:i + 100])) for i in range(0, words, 100)]
+        out = secrets.find_secrets(spark.createDataFrame(tests + cards + hexes + prose, "doc_id long, text string"))
+        hits = {r.doc_id: r.n for r in out.selectExpr("doc.doc_id", "size(filter(spans, s -> s.kind = 3)) AS n").collect()}
+        assert [n for i, n in enumerate(ORDINARY_NAMES) if hits[-1 - i]] == [], words
+        assert sum(hits[-100 - i] for i in range(50)) >= 48
