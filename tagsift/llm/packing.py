@@ -66,11 +66,11 @@ class _Windows:
 _PIECE = ["start", "length", "doc_tokens", "ids", "offset"]
 
 
-def _pack_partition(path: str, end_id: int, seq_len: int, most: int):
+def _pack_partition(path: str, end_id: int, seq_len: int, most: int, special_ids: bool):
     end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part, enc, windows, out = TaskContext.get().partitionId(), encoder(path), _Windows(seq_len, most), []
+        part, enc, windows, out = TaskContext.get().partitionId(), encoder(path, special_ids), _Windows(seq_len, most), []
 
         def rows(window: int, pieces: list[tuple], done: bool) -> None:
             out.extend((*p, part, window, done) for p in pieces)
@@ -126,10 +126,11 @@ def _merge_leftovers(seq_len: int):
 
 
 def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", end_id: int = 1,
-         seq_len: int = 2048, open_windows: int = 64, fan_in: int = 32) -> DataFrame:
+         seq_len: int = 2048, open_windows: int = 64, fan_in: int = 32, special_ids: bool = False) -> DataFrame:
     """Pieces: doc_id, start, length, doc_tokens, ids (binary, little-endian unsigned 32 bit), sequence_id, offset.
 
-    ``tokenizer`` is the path of a byte-level BPE file that every executor can open.
+    ``tokenizer`` is the path of a byte-level BPE file that every executor can open.  With ``special_ids`` the strings
+    of its special tokens get their ids, as the file has it; else they are ordinary text.
     """
     kind = docs.schema[key].dataType
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
@@ -138,7 +139,7 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
              T.StructField("offset", T.LongType())]
     first = T.StructType([*piece, T.StructField("part", T.LongType()), T.StructField("window", T.LongType()),
                           T.StructField("done", T.BooleanType())])
-    placed = written(rows.mapInPandas(_pack_partition(tokenizer, end_id, seq_len, open_windows), first),
+    placed = written(rows.mapInPandas(_pack_partition(tokenizer, end_id, seq_len, open_windows, special_ids), first),
                      "packed", compression="zstd")
     cols = ["doc_id", "start", "length", "doc_tokens", "ids", "sequence_id", "offset"]
     full = placed.where("done").withColumn("sequence_id", F.shiftleft("part", 32) + F.col("window")).select(*cols)

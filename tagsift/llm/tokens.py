@@ -5,6 +5,10 @@ character that isn't white space into one that is, nor from a letter into a sign
 the pattern never looks back, so a text can be taken apart before every run of white space and after
 every run of letters and the ids of the parts put together again.  Most parts (a space and a word) come
 again and again; their ids are kept in a dictionary of bounded size.
+
+Strings of special tokens (``<|endoftext|>``) are ordinary text by default, or with ``special_ids`` get the ids
+that the file gives them.  The cut holds for both: such a string has no white space and begins with a sign, so
+it lies inside one part.
 """
 
 from __future__ import annotations
@@ -28,11 +32,11 @@ CACHE_PART_CHARS = 64          # longer parts aren't kept
 class PieceEncoder:
     """Little-endian unsigned 32-bit ids of texts, as bytes."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_ids: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"   # the task has one core
         from tokenizers import Tokenizer
         self._tok = Tokenizer.from_file(path)
-        self._tok.encode_special_tokens = True           # their strings in a text are ordinary text
+        self._tok.encode_special_tokens = not special_ids
         self._known: dict[str, bytes] = {}
         self._long: list[str] = []
 
@@ -67,6 +71,6 @@ class PieceEncoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> PieceEncoder:
+def encoder(path: str, special_ids: bool = False) -> PieceEncoder:
     """One encoder per Python worker, kept between its tasks."""
-    return PieceEncoder(path)
+    return PieceEncoder(path, special_ids)

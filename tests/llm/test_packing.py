@@ -75,3 +75,21 @@ def test_encoder_with_small_caches(monkeypatch):
     enc = PieceEncoder(PATH)
     for text in ["a b c d e f", " a  b\n c", "a b c d e f g h", "a", "", "don't 'start we'll,ok e\u0301t\u0301e abc\u043c\u0438\u0440 x12 !,a."]:
         assert np.frombuffer(enc.encode([text])[0], dtype="<u4").tolist() == plain_ids(text)[:-1]
+
+
+def test_special_strings_get_the_ids_of_the_file(spark, tmp_path):
+    import corpus_pipeline
+    plain = Tokenizer.from_file(PATH)
+    assert plain.encode("a <|endoftext|> b", add_special_tokens=False).ids == [64, 220, 50256, 275]
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "ab<|endoftext|>cd ef  <|endoftext|>\n\n<|endoftext|><|endoftext|>'s x", "\u00e9<|endoftext|>1 <|endoftext",
+             " <|endoftext|>", "no such string", "\u4e2d<|endoftext|> \t <|endoftext|>  "]
+    want = [[*plain.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for r in op1_packing(spark, str(tmp_path)).collect():
+        own = want[r.doc_id][r.start:r.start + r.length]
+        assert r.doc_tokens == len(want[r.doc_id]) and r.ids_crc32 == zlib.crc32(np.array(own, dtype="<u4").tobytes())
+    for r in corpus_pipeline.packing(spark, docs, str(tmp_path)).collect():
+        assert np.frombuffer(r.ids, dtype="<u4").tolist() == want[r.doc_id][r.start:r.start + r.length]
+    known = PieceEncoder(PATH, special_ids=True)
+    assert [np.frombuffer(b, dtype="<u4").tolist() for b in known.encode(texts)] == [w[:-1] for w in want]
