@@ -27,6 +27,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest doc_id.
 
+    Groups are those of op2 (shingles of two words, not the five that are usual for such a stage; see README).
+
     Rows that repeat a doc_id are one document, of which one row stays; rows without a doc_id stay.
     """
     found = written(near_duplicates(docs), "near-duplicates")
