@@ -16,8 +16,9 @@ every member is confirmed against one pivot, the bucket's smallest member it sha
 against its other pivots, and after each round components are formed.  A bucket whose members are all in
 one component has nothing left to find.  In the others, members outside the bucket's largest component
 are compared with all members of other components, which covers every pair of the bucket that could still
-join two components.  So no link that could change a component is lost.  In large buckets that comparison
-is made on wide signatures, block by block, and only near pairs leave a block; what is compared there still
+join two components.  So a link that could change a component is lost only by the signatures that prune pairs
+before the exact check: at a similarity of exactly 0.8 with odds of 8 in 10 billion (sketches of 64 bits) or
+1.7 in a million (the wide ones).  In large buckets that comparison is made on wide signatures, block by block, and only near pairs leave a block; what is compared there still
 grows with outsiders times members, which nothing exact avoids when very many texts are just too far apart.
 
 Scale: texts are read by the signature pass and by one semi-join that picks the candidates' texts (a
@@ -52,9 +53,9 @@ CHUNK_SYMBOLS = 6
 CHUNK_ERRORS = 1
 SYMBOLS = CHUNKS * CHUNK_SYMBOLS
 SYMBOL_BITS = 16
-SKETCH_ERRORS = 24              # of 64 one-bit symbols; at similarity 0.8 more differ with odds under 1 in 10 million
+SKETCH_ERRORS = 24              # of 64 one-bit symbols; at similarity 0.8 more differ with odds of 8 in 10 billion
 WIDE_BITS = 2048                # one-bit symbols compared in large buckets; similar pairs differ in a tenth at most,
-WIDE_ERRORS = 270               # in more than 270 (five deviations) with odds of 1 in a million
+WIDE_ERRORS = 270               # in more than 270 (five deviations) with odds of 1.7 in a million
 SMALL_BUCKET = 16               # members of a bucket whose open pairs are made by a plain join
 BLOCK = 1024
 PERCENT = 80
