@@ -27,10 +27,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tagsift.llm.shared import bind, written
+from tagsift.llm.shared import written
 
 FAN = 16
-HEIGHT = 3                       # levels of a block
+HEIGHT = 2                       # levels of a block
 BLOCK = FAN ** HEIGHT
 
 
@@ -108,6 +108,16 @@ def _steps(place: Column) -> Column:
     return F.concat(*out)
 
 
+def _placed(blocks: DataFrame, *columns: Column) -> DataFrame:
+    """One row a member: ``columns``, the member ``m`` and its siblings up to the root.
+
+    The block's nodes stay in the block's row; only what a member needs leaves it.
+    """
+    each = F.transform("members", lambda m, at: F.struct(m.alias("m"), F.concat(_steps(at), "up").alias("siblings")))
+    return blocks.select(*columns, F.explode(each).alias("x")).select(
+        *[F.col(c) for c in blocks.select(*columns).columns], "x.m", "x.siblings")
+
+
 def _climb(nodes: DataFrame, tree: str, carried: Sequence[str], name: str) -> list[DataFrame]:
     """Rounds of blocks, the leaves' first; each later round has the tops of the trees that still had several blocks."""
     rounds = []
@@ -146,11 +156,8 @@ def _descend(rounds: list[DataFrame], tree: str, above: DataFrame, name: str) ->
             on = more[tree].eqNullSafe(learned["_t"]) & (more["block"] == learned["_b"])
             out = out.unionByName(more.join(learned, on).drop("_t", "_b"))
         if k:
-            member = F.posexplode("members").alias("place", "m")
-            learned = written(
-                out.select(F.col(tree).alias("_t"), *[f"l{h}" for h in range(HEIGHT)], "levels", "up", member)
-                .select("_t", F.col("m.child").alias("_b"), F.concat(_steps(F.col("place")), "up").alias("up")),
-                f"{name}-learned-{k}")
+            below = _placed(out, F.col(tree).alias("_t"))
+            learned = written(below.select("_t", F.col("m.child").alias("_b"), F.col("siblings").alias("up")), f"{name}-learned-{k}")
     return out
 
 
@@ -185,22 +192,17 @@ def manifest(docs: DataFrame, group: str, key: str, values: Sequence[str], tampe
     root = top[-1].where(F.col("n") <= BLOCK).select(F.col("whole").alias("_w"), F.col("top").alias("root"))
     none = F.array().cast("array<struct<left: string, right: string>>")
     placed = _descend(top, "whole", top[-1].select("whole", none.alias("up")).distinct(), "root")
-    above = placed.select("whole", *[f"l{h}" for h in range(HEIGHT)], "levels", "up",
-                          F.posexplode("members").alias("place", "m"))
-    above = above.select(F.col("m.grp").alias("grp"), F.col("m.digest").alias("subroot"), "whole",
-                         F.concat(_steps(F.col("place")), "up").alias("up"))
+    above = _placed(placed, F.col("whole")).select(
+        F.col("m.grp").alias("grp"), F.col("m.digest").alias("subroot"), "whole", F.col("siblings").alias("up"))
     above = written(above.join(F.broadcast(root), F.col("whole") == F.col("_w")).drop("whole", "_w"), "groups")
     told = _descend(rounds, "grp", above.select("grp", "up"), "groups")
     ends = above.select(F.col("grp").alias("_g"), "subroot", "root")
     told = told.join(ends, told["grp"].eqNullSafe(ends["_g"])).drop("_g")
-    each = told.select(*[f"l{h}" for h in range(HEIGHT)], "levels", "up", "subroot", "root",
-                       F.posexplode("members").alias("place", "m"))
-    each = each.select(F.col("m.key").alias(key), F.col("m.digest").alias("leaf"), "subroot", "root", F.col("m.own").alias("own"),
-                       bind(F.concat(_steps(F.col("place")), "up"), lambda s: F.struct(
-                           s.alias("siblings"), _fold(F.coalesce(F.col("m.own"), F.col("m.digest")), s).alias("path"))).alias("x"))
-    leaves = each.select(key, "leaf", "subroot", "root", F.col("x.siblings").alias("siblings"),
-                         F.when(F.col("own").isNotNull(), F.col("x.path")).alias("version"),
-                         F.element_at("x.path", -1).alias("folded_root"))
+    each = _placed(told, F.col("subroot"), F.col("root")).withColumn(
+        "path", _fold(F.coalesce(F.col("m.own"), F.col("m.digest")), F.col("siblings")))
+    leaves = each.select(F.col("m.key").alias(key), F.col("m.digest").alias("leaf"), "subroot", "root", "siblings",
+                         F.when(F.col("m.own").isNotNull(), F.col("path")).alias("version"),
+                         F.element_at("path", -1).alias("folded_root"))
     return leaves, _nodes(rounds, "grp", "group").unionByName(_nodes(top, "whole", "root"))
 
 
