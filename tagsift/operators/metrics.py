@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagsift.functions.scoring import safe_div
-from tagsift.functions.text import parse_tag
+from tagsift.functions.text import bind, parse_tag
 from tagsift.operators.features import label_id
 from tagsift.operators.ordered import global_running
 
@@ -183,50 +183,58 @@ def pr_summary(curve: DataFrame) -> DataFrame:
 _OPENS, _CLOSES, _OUTSIDE, _SINGLE = ("B", "S"), ("E", "S"), ("O", "."), ("[", "]")
 
 
-def _chunk_columns(tags: DataFrame, which: str) -> DataFrame:
-    """``tags`` with a column <which>_chunk: struct(start, end, type) at every token that opens a chunk, else null.
-
-    A token goes on with the chunk of the token before if that one is inside a chunk, doesn't close it, has
-    the same type, and the token itself doesn't open one or stand outside.  A token inside a chunk that
-    doesn't go on opens one; a chunk ends at the last token before one that doesn't go on.  All windows run
-    over one order of each sentence.
-    """
-    w = Window.partitionBy("sent_id").orderBy("pos")
-    ahead = w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    prefix, typ = parse_tag(F.col(which))
-    t = tags.withColumns({"_pre": prefix, "_typ": typ})
-    inside = ~F.col("_pre").isin(*_OUTSIDE)
-    before_open = F.lag(inside & ~F.col("_pre").isin(*_CLOSES, *_SINGLE)).over(w)
-    goes_on = (inside & ~F.col("_pre").isin(*_SINGLE, *_OPENS) & F.coalesce(before_open, F.lit(False))
-               & (F.lag("_typ").over(w) == F.col("_typ")))
-    t = t.withColumn("_on", goes_on)
-    t = t.withColumn("_last", inside & ~F.coalesce(F.lead("_on").over(w), F.lit(False)))
-    t = t.withColumn("_end", F.min(F.when(F.col("_last"), F.col("pos"))).over(ahead))
-    chunk = F.when(inside & ~F.col("_on"), F.struct(F.col("pos").alias("start"), F.col("_end").alias("end"), F.col("_typ").alias("type")))
-    return t.withColumn(f"{which}_chunk", chunk).drop("_pre", "_typ", "_on", "_last", "_end")
+def _tag_parts(tag: Column) -> Column:
+    """(inside, back, ahead, type) of a tag, by the scheme above: is the token inside a chunk, can
+    that chunk be the one of the token before (``back``), can it be that of the token after (``ahead``)?"""
+    p, typ = parse_tag(tag)
+    inside = ~p.isin(*_OUTSIDE, *_SINGLE)
+    return F.struct((~p.isin(*_OUTSIDE)).alias("inside"), (inside & ~p.isin(*_OPENS)).alias("back"),
+                    (inside & ~p.isin(*_CLOSES)).alias("ahead"), typ.alias("type"))
 
 
 def chunk_eval(tags: DataFrame) -> DataFrame:
     """EV-09: per type and overall: correct, guessed, gold chunks, precision, recall, F1; token accuracy.
 
-    ``tags``: sent_id, pos, gold, pred (one sentence per sent_id; a sentence boundary acts as an O tag).  A
-    chunk is correct when gold and predicted chunks have the same start, end and type: as both start at one
-    token, they stand in one row, so one pass over the sentences and one aggregate by type are enough.
+    ``tags``: sent_id, pos, gold, pred (one sentence per sent_id; a sentence boundary acts as an O tag).
+
+    A token goes on with the chunk of the token before if that one is inside a chunk, doesn't close it, has
+    the same type, and the token itself doesn't open one or stand outside; else it is a break of that side, and
+    a chunk begins there if the token is inside.  A chunk ends before its side's next break.  So a gold and a
+    predicted chunk that begin at one token with one type are the same if the next token that is a break of
+    either side is a break of both.  That is one look back over the sorted tokens and one look ahead over the breaks,
+    linear in a sentence of any length, in one shuffle.
     """
-    t = _chunk_columns(_chunk_columns(tags.select("sent_id", "pos", "gold", "pred"), "gold"), "pred")
-    same = F.coalesce(F.col("gold_chunk") == F.col("pred_chunk"), F.lit(False))
-    marks = F.array(
-        F.struct(F.col("gold_chunk.type").alias("type"), F.lit(1).alias("gold"), F.lit(0).alias("guessed"), F.lit(0).alias("correct")),
-        F.struct(F.col("pred_chunk.type").alias("type"), F.lit(0).alias("gold"), F.lit(1).alias("guessed"), same.cast("int").alias("correct")))
-    token = F.struct(F.lit(None).cast("string").alias("type"), F.lit(0).alias("gold"), F.lit(0).alias("guessed"), F.lit(0).alias("correct"))
-    rows = t.select((F.col("gold") == F.col("pred")).alias("right"),
-                    F.explode(F.concat(F.filter(marks, lambda m: m["type"].isNotNull()), F.array(token))).alias("m"))
-    is_token = F.col("m.type").isNull()
-    by_type = rows.groupBy("m.type").agg(
-        *[F.sum(f"m.{c}").alias(c) for c in ("gold", "guessed", "correct")],
-        F.count_if(is_token).alias("tokens"), F.count_if(is_token & F.col("right")).alias("correct_tags"))
-    every = by_type.agg(F.lit("__overall__").alias("type"),
-                        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("gold", "guessed", "correct", "tokens", "correct_tags")])
+    w = Window.partitionBy("sent_id").orderBy("pos")
+    whole = Window.partitionBy("sent_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    # The tags travel as they are; each is parsed once, where its sentence is.
+    t = tags.select("sent_id", "pos", "gold", "pred").repartition("sent_id")
+    t = t.select("sent_id", "pos", _tag_parts(F.col("gold")).alias("g"), _tag_parts(F.col("pred")).alias("p"),
+                    (F.col("gold") == F.col("pred")).cast("int").alias("right"))
+    t = t.withColumns({"g0": F.lag("g").over(w), "p0": F.lag("p").over(w), "tokens": F.count(F.lit(1)).over(whole),
+                       "rights": F.sum("right").over(whole), "nth": F.row_number().over(w)})
+
+    def breaks(now: str, before: str) -> Column:
+        on = F.col(f"{now}.back") & F.col(f"{before}.ahead") & (F.col(f"{now}.type") == F.col(f"{before}.type"))
+        return ~F.coalesce(on, F.lit(False))
+
+    t = t.select("sent_id", "pos", breaks("g", "g0").alias("gb"), breaks("p", "p0").alias("pb"), "g.inside", F.col("g.type").alias("gt"),
+                 F.col("p.inside").alias("p_inside"), F.col("p.type").alias("pt"), "tokens", "rights", "nth").where("gb OR pb")
+    t = t.withColumn("both_end", F.coalesce(F.lead(F.col("gb") & F.col("pb")).over(w), F.lit(True)))
+    gold, pred = F.col("gb") & F.col("inside"), F.col("pb") & F.col("p_inside")
+    same = gold & pred & (F.col("gt") == F.col("pt")) & F.col("both_end")
+
+    def mark(kind: Column, **counts: Column) -> Column:
+        names = ("gold", "guessed", "correct", "tokens", "correct_tags")
+        return F.struct(kind.alias("type"), *[counts.get(c, F.lit(0)).cast("long").alias(c) for c in names])
+
+    # The first token of a sentence is a break; it brings the sentence's token counts.
+    marks = F.array(F.when(gold, mark(F.col("gt"), gold=F.lit(1), correct=same.cast("int"))),
+                    F.when(pred, mark(F.col("pt"), guessed=F.lit(1))),
+                    F.when(F.col("nth") == 1, mark(F.lit(None).cast("string"), tokens=F.col("tokens"), correct_tags=F.col("rights"))))
+    rows = t.select(F.explode(F.filter(marks, lambda m: m.isNotNull())).alias("m")).select("m.*")
+    counts = ("gold", "guessed", "correct", "tokens", "correct_tags")
+    by_type = rows.groupBy("type").agg(*[F.sum(c).alias(c) for c in counts])
+    every = by_type.agg(F.lit("__overall__").alias("type"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in counts])
     none = F.lit(None).cast("long")
     each = by_type.where(F.col("type").isNotNull()).withColumns({"tokens": none, "correct_tags": none})
     pr, re = safe_div(F.col("correct"), F.col("guessed")), safe_div(F.col("correct"), F.col("gold"))
@@ -251,23 +259,26 @@ def parse_run_results(lines: DataFrame, file_col: str = "file_name", order_col:
     A result line is the mark and then name / value pairs, all divided by white space.  A line counts if it has
     every name once, whole numbers and decimals where they belong, and nothing else.
     """
-    words = F.split(F.col("line"), r"\s+")
-    pairs = F.transform(F.sequence(F.lit(1), F.lit(2 * len(_RUN_FIELDS) - 1), F.lit(2)),
-                        lambda i: F.struct(F.get(words, i).alias("name"), F.get(words, i + 1).alias("value")))
-    m = lines.where((F.get(words, F.lit(0)) == "TEST-RESULT") & (F.size(words) == 1 + 2 * len(_RUN_FIELDS)))
-    m = m.select(file_col, order_col, pairs.alias("pairs"))
-    m = m.where(F.size(F.array_distinct(F.transform("pairs", lambda p: p["name"]))) == len(_RUN_FIELDS))
-
-    def value(name: str) -> Column:
-        return F.get(F.filter("pairs", lambda p: p["name"] == name), F.lit(0))["value"]
-
-    m = m.select(file_col, order_col, *[value(name).alias(c) for c, name in _RUN_FIELDS.items()])
-    good = F.lit(True)
-    for c in _RUN_FIELDS:
-        good = good & F.col(c).isNotNull()
-        if c in _WHOLE + _DECIMAL:
-            good = good & F.col(c).rlike(r"^[0-9]+$" if c in _WHOLE else r"^[0-9]+\.[0-9]+$")
-    last = m.where(good).groupBy(file_col).agg(F.max_by(F.struct(*_RUN_FIELDS), F.col(order_col)).alias("r"))
+    # Only lines with the mark are split, once each; the pairs become one map that all checks read.
+    size = 1 + 2 * len(_RUN_FIELDS)
+    picked = lambda w, first: F.transform(F.sequence(F.lit(first), F.lit(size - 2 + first), F.lit(2)), lambda i: F.get(w, i))
+    pairs = bind(F.split(F.col("line"), r"\s+"), lambda w: F.when(
+        (F.size(w) == size) & (F.size(F.array_distinct(picked(w, 1))) == len(_RUN_FIELDS)),
+        F.map_from_arrays(picked(w, 1), picked(w, 2))))
+    m = lines.where(F.col("line").rlike(r"^TEST-RESULT\s")).select(file_col, order_col, pairs.alias("pairs"))
+
+    def good(v: Column) -> Column:
+        ok = v.isNotNull()
+        for c in _RUN_FIELDS:
+            ok = ok & v[c].isNotNull()
+            if c in _WHOLE + _DECIMAL:
+                ok = ok & v[c].rlike(r"^[0-9]+$" if c in _WHOLE else r"^[0-9]+\.[0-9]+$")
+        return ok
+
+    values = bind(F.col("pairs"), lambda p: F.when(p.isNotNull(), F.struct(*[p[name].alias(c) for c, name in _RUN_FIELDS.items()])))
+    m = m.select(file_col, order_col, bind(values, lambda v: F.when(good(v), v)).alias("r"))
+    last = m.groupBy(file_col).agg(F.max_by("r", F.when(F.col("r").isNotNull(), F.col(order_col))).alias("r"))
+    last = last.where(F.col("r").isNotNull())
     return last.select(file_col, "r.*")
 
 

@@ -169,18 +169,15 @@ pr AS (SELECT threshold, tp, fp, CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp
 curve AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * recall * precision / (recall + precision) END AS f1 FROM pr)
 """
 
+# Chunks as groups of tokens: a token that can't be of one chunk with the token before it begins a group, and a
+# group is a chunk unless it stands outside.
 _CHUNK_SIDE = """
-{w}0 AS (SELECT sent_id, pos, CASE WHEN instr({w}, '-') > 0 THEN split_part({w}, '-', 1) ELSE {w} END AS cp,
-              CASE WHEN instr({w}, '-') > 0 THEN substr({w}, instr({w}, '-') + 1) ELSE '' END AS ct FROM fx_token_tag),
-{w}1 AS (SELECT *, coalesce(lag(cp) OVER (PARTITION BY sent_id ORDER BY pos), 'O') AS pp,
-               coalesce(lag(ct) OVER (PARTITION BY sent_id ORDER BY pos), '') AS pt FROM {w}0),
-{w}2 AS (SELECT *,
-   (pp IN ('E', 'S') OR (pp IN ('B', 'I') AND cp IN ('B', 'S', 'O')) OR (pp NOT IN ('O', '.') AND pt <> ct) OR pp IN (']', '[')) AS e,
-   (cp IN ('B', 'S') OR (pp IN ('E', 'S', 'O') AND cp IN ('E', 'I')) OR (cp NOT IN ('O', '.') AND pt <> ct) OR cp IN ('[', ']')) AS s
-   FROM {w}1),
-{w}3 AS (SELECT *, coalesce(min(CASE WHEN e THEN pos END) OVER (PARTITION BY sent_id ORDER BY pos DESC
-                         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 1, max(pos) OVER (PARTITION BY sent_id)) AS stop FROM {w}2),
-{w}c AS (SELECT sent_id, pos AS start, stop, ct AS type FROM {w}3 WHERE s)
+{w}0 AS (SELECT sent_id, pos, string_split({w}, '-')[1] AS mark, substr({w}, len(string_split({w}, '-')[1]) + 2) AS ct FROM fx_token_tag),
+{w}1 AS (SELECT *, mark IN ('I', 'E') AND lag(mark IN ('B', 'I')) OVER o AND lag(ct) OVER o = ct AS joined
+         FROM {w}0 WINDOW o AS (PARTITION BY sent_id ORDER BY pos)),
+{w}2 AS (SELECT *, count(*) FILTER (coalesce(joined, false) = false) OVER (PARTITION BY sent_id ORDER BY pos) AS grp FROM {w}1),
+{w}c AS (SELECT sent_id, min(pos) AS start, max(pos) AS stop, min(ct) AS type FROM {w}2 GROUP BY sent_id, grp
+         HAVING bool_and(mark NOT IN ('O', '.')))
 """
 
 _CHUNK = duck_with("fx_token_tag") + "," + _CHUNK_SIDE.format(w="gold") + "," + _CHUNK_SIDE.format(w="pred") + """,
