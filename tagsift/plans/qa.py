@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tagsift.operators import qa
+from tagsift.operators.passages import max_context_regular, white_words
 from tagsift.sources.fixtures import duck_with, fixture, table
 
 N_BEST, MAX_ANSWER = 20, 30
@@ -26,10 +27,12 @@ def q_predictions(spark, sf):
     return qa.predictions(qa.nbest(fixture(spark, sf, "fx_logit"), N_BEST, MAX_ANSWER))
 
 
+def _lengths(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.size(white_words("text")).alias("n"))
+
+
 def _windows(spark, sf):
-    d = table(spark, sf, "documents")
-    n = F.size(F.split(F.trim(F.col("text")), r"\s+"))
-    return d.select("doc_id", F.posexplode(qa.window_spans(n, MAX_TOKENS, STRIDE)).alias("window", "w")) \
+    return _lengths(spark, sf).select("doc_id", F.posexplode(qa.window_spans("n", MAX_TOKENS, STRIDE)).alias("window", "w")) \
             .select("doc_id", "window", F.col("w.start").alias("start"), F.col("w.length").alias("length"))
 
 
@@ -40,7 +43,7 @@ def q_windows(spark, sf):
 
 def q_max_context(spark, sf):
     """WIN-05: for every document token, the window giving it the most context."""
-    return qa.max_context(_windows(spark, sf))
+    return max_context_regular(_lengths(spark, sf), "doc_id", "n", MAX_TOKENS, STRIDE)
 
 
 QUERIES = {
@@ -69,7 +72,7 @@ nb AS (SELECT example_id, rank, CASE WHEN start = 0 THEN '' ELSE CAST(start AS V
 """
 
 _WIN = f"""
-WITH d AS (SELECT doc_id, len(regexp_split_to_array(trim(text), '\\s+')) AS n FROM documents),
+WITH d AS (SELECT doc_id, len(list_filter(regexp_split_to_array(text, '[ \\t\\r\\n\\x{{202F}}]+'), lambda x: x <> '')) AS n FROM documents),
 k AS (SELECT doc_id, n, 1 + CAST(ceil(greatest(n - {MAX_TOKENS}, 0) / {min(MAX_TOKENS, STRIDE)}) AS BIGINT) AS k FROM d WHERE n > 0),
 win AS (SELECT doc_id, CAST(i AS INTEGER) AS "window", CAST(i * {min(MAX_TOKENS, STRIDE)} AS INTEGER) AS start,
                CAST(least({MAX_TOKENS}, n - i * {min(MAX_TOKENS, STRIDE)}) AS INTEGER) AS length
