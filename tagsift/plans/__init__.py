@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("lists", "corpus", "context", "metrics", "features", "textstats", "qa", "passages", "streaming", "pretrain", "model", "files")
+_MODULES = ("lists", "corpus", "context", "metrics", "features", "textstats", "qa", "passages", "streaming", "pretrain", "model", "files", "textio")
 
 
 def _load():

@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tagsift.sources.lines import numbered_lines
+
 TAB = "\t"
 
 
@@ -49,19 +51,46 @@ def scan_fields(spark: SparkSession, paths, fields: Sequence[tuple[str, str]], m
     return rows.select(*[_typed(F.get("f", F.lit(i)), kind).alias(name) for i, (name, kind) in enumerate(fields)])
 
 
-def scan_corpus(spark: SparkSession, sources: Sequence[str]) -> DataFrame:
+def scan_corpus(spark: SparkSession, sources: Sequence, descending: Sequence[bool] = ()) -> DataFrame:
     """SRC-01: corpus lines (also of .gz files) of sources in order of precedence: source_rank, line_no, line.
 
-    ``line_no`` grows with the place of a line in its source.
+    A source is one or more paths; its files count by path, or from the last to the first where ``descending`` says so.
+    ``line_no`` is the place of a line in its whole source, whatever splits Spark makes of the files.
     """
     out = None
     for rank, paths in enumerate(sources):
-        one = _lines(spark, paths).select(F.lit(rank).alias("source_rank"), F.monotonically_increasing_id().alias("line_no"),
-                                          F.col("value").alias("line"))
+        down = rank < len(descending) and descending[rank]
+        one = numbered_lines(spark, paths, down).select(F.lit(rank).alias("source_rank"), F.col("place").alias("line_no"), "line")
         out = one if out is None else out.unionByName(one)
     return out
 
 
+def scan_exclusions(spark: SparkSession, paths) -> DataFrame:
+    """SRC-02: doc_id (text), one a line."""
+    return _lines(spark, paths).select(F.regexp_replace("value", "\r$", "").alias("doc_id"))
+
+
+def scan_raw_matches(spark: SparkSession, paths) -> DataFrame:
+    """SRC-03: of the 8 columns of a match row: doc_id, start, stop, type and serial; line_no is the arrival order."""
+    f = F.split("line", TAB)
+    rows = numbered_lines(spark, paths).select(F.col("place").alias("line_no"), F.when(F.size(f) == 8, f).otherwise(F.raise_error(
+        F.concat(F.lit("line "), F.col("line_no").cast("string"), F.lit(" of "), F.col("file"), F.lit(": not 8 fields: "), F.col("line"))
+    ).cast("array<string>")).alias("f"))
+    return rows.select("line_no", *[F.get("f", F.lit(i)).cast("long").alias(c) for i, c in ((0, "doc_id"), (3, "start"), (4, "stop"), (6, "type"), (7, "serial"))])
+
+
+def scan_entities(spark: SparkSession, paths) -> DataFrame:
+    """SRC-04: serial, type, identifier and line_no, by which the last row of a serial counts."""
+    f = F.split("line", TAB)
+    return numbered_lines(spark, paths).select(F.get(f, F.lit(0)).cast("long").alias("serial"), F.get(f, F.lit(1)).cast("int").alias("type"),
+                                               F.get(f, F.lit(2)).alias("identifier"), F.col("place").alias("line_no"))
+
+
+def scan_ranks(spark: SparkSession, paths) -> DataFrame:
+    """SRC-05: exactly taxid, name, rank."""
+    return scan_fields(spark, paths, [("taxid", "string"), ("name", "string"), ("rank", "string")])
+
+
 PREDICTION_FIELDS = [("doc_id", "long"), ("ann_ids", "string"), ("s_type", "string"), ("before", "string"), ("name", "string"),
                      ("after", "string"), ("p_type", "string"), ("probs", "string")]
 
@@ -106,6 +135,10 @@ def scan_logs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def scan_pairs(spark: SparkSession, paths) -> DataFrame:
-    """SRC-15: ``a ||| b`` or ``a`` per line: text_a, text_b (null without a second text)."""
-    parts = F.split(F.trim("value"), r" \|\|\| ", 2)
-    return _lines(spark, paths).select(F.get(parts, F.lit(0)).alias("text_a"), F.get(parts, F.lit(1)).alias("text_b"))
+    """SRC-15: ``a ||| b`` (the last separator divides) or ``a`` per line: unique_id (line number from 0), text_a, text_b (null without)."""
+    pair = r"^(.*) [|]{3} (.*)$"
+    line = F.trim("line")
+    two = line.rlike(pair)
+    return numbered_lines(spark, paths).select(
+        (F.col("place") - 1).alias("unique_id"), F.when(two, F.regexp_extract(line, pair, 1)).otherwise(line).alias("text_a"),
+        F.when(two, F.regexp_extract(line, pair, 2)).alias("text_b"))
