@@ -1,6 +1,6 @@
 """Near-duplicate documents by MinHash signatures and a multi-index Hamming join.
 
-Signatures.  A document's set of 2-word shingles gets CHUNKS * CHUNK_SYMBOLS MinHash values, each cut to
+Signatures.  A document's set of word shingles (``words`` each, five unless asked otherwise) gets CHUNKS * CHUNK_SYMBOLS MinHash values, each cut to
 SYMBOL_BITS bits.  Two documents' signatures differ in about (1 - similarity) of the symbols.
 
 Multi-index.  The signature is split into CHUNKS chunks.  By the pigeonhole principle two signatures
@@ -16,9 +16,10 @@ every member is confirmed against one pivot, the bucket's smallest member it sha
 against its other pivots, and after each round components are formed.  A bucket whose members are all in
 one component has nothing left to find.  In the others, members outside the bucket's largest component
 are compared with all members of other components, which covers every pair of the bucket that could still
-join two components.  So a link that could change a component is lost only by the signatures that prune pairs
-before the exact check: at a similarity of exactly 0.8 with odds of 8 in 10 billion (sketches of 64 bits) or
-1.7 in a million (the wide ones).  In large buckets that comparison is made on wide signatures, block by block, and only near pairs leave a block; what is compared there still
+join two components.  Candidates are pruned by signatures before the exact check, never one under the distance: sketches
+of 64 of the symbols may differ in 24, and in large buckets, which are compared block by block, a pair passes if at
+most 23 symbols differ or if it is near by wide signatures of 2,048 further bits.  Above the distance, at a similarity
+of exactly 0.8, the sketches lose a pair with odds of 8 in 10 billion and the wide ones with 1.7 in a million.  What is compared in blocks
 grows with outsiders times members, which nothing exact avoids when very many texts are just too far apart.
 
 Scale: texts are read by the signature pass and by one semi-join that picks the candidates' texts (a
@@ -26,10 +27,11 @@ broadcast only if the counted ids are few); keys are 16-byte rows, shuffled with
 buckets are split by AQE in the joins.  All intermediate tables live in the shared folder.
 
 Cases: null texts, empty texts and texts without words have an empty set and are linked with nothing; a
-text of one word is one shingle; texts of any length are read whole; rows without a key take no part
-(component null, kept); rows with equal key and text get equal results; if a key stands at different
-texts, each row is judged by its own text, and classes with the same smallest key are one vertex; an
-empty table gives no rows.  Only the key and text columns are read, so other columns of any name don't
+text of fewer words than a shingle is one shingle; texts of any length are read whole; rows without a key take no part
+(component null, kept, chosen); rows with equal key and text get equal results; if a key stands at different
+texts, each row is judged by its own text: classes are numbered by (smallest key, class), so no two are one vertex,
+and of rows with the smallest key of their component those of its first class are ``chosen``; an empty table gives
+no rows.  Only the key and text columns are read, so other columns of any name don't
 matter.
 """
 
@@ -46,7 +48,8 @@ from pyspark.sql import functions as F
 
 from tagsift.llm.components import components
 from tagsift.llm.shared import written
-from tagsift.llm.shingles import mix, pair_sets
+from tagsift.llm.shingles import mix, shingle_sets
+from tagsift.operators.ordered import global_running
 
 CHUNKS = 12
 CHUNK_SYMBOLS = 6
@@ -59,7 +62,8 @@ WIDE_ERRORS = 270               # in more than 270 (five deviations) with odds o
 SMALL_BUCKET = 16               # members of a bucket whose open pairs are made by a plain join
 BLOCK = 1024
 PERCENT = 80
-BROADCAST_IDS = 2_000_000       # candidate ids (8 bytes each) that may be broadcast
+NEAR_SYMBOLS = CHUNKS * (CHUNK_ERRORS + 1) - 1   # the signature distance up to which every pair is confirmed
+BROADCAST_IDS = 1_000_000       # candidate ids (32 bytes each) that may be broadcast
 _CHARS_AT_ONCE = 1_000_000
 _U = np.uint64
 
@@ -118,18 +122,21 @@ def _slices(texts: list) -> Iterator[tuple[int, int]]:
         at = to
 
 
-def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        texts = batch["text"].tolist()
-        for at, to in _slices(texts):
-            sets = pair_sets(texts[at:to])
-            full = [s for s in sets if len(s)]
-            sigs = iter(signatures(full) if full else ())
-            made = [(len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), next(sigs).tobytes()) if len(s)
-                    else (0, None, None) for s in sets]
-            out = pd.DataFrame(made, columns=["n_shingles", "class", "signature"])
-            out.insert(0, "doc_id", batch["doc_id"].iloc[at:to].to_numpy())
-            yield out
+def _sign(words: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            texts = batch["text"].tolist()
+            for at, to in _slices(texts):
+                sets = shingle_sets(texts[at:to], words)
+                full = [s for s in sets if len(s)]
+                sigs = iter(signatures(full) if full else ())
+                made = [(len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), next(sigs).tobytes()) if len(s)
+                        else (0, None, None) for s in sets]
+                out = pd.DataFrame(made, columns=["n_shingles", "class", "signature"])
+                out.insert(0, "doc_id", batch["doc_id"].iloc[at:to].to_numpy())
+                out.insert(1, "digest", batch["digest"].iloc[at:to].to_numpy())
+                yield out
+    return run
 
 
 def _keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -140,31 +147,35 @@ def _keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"key": keys.ravel(), "v": np.repeat(part["v"].to_numpy(), keys.shape[1])})
 
 
-def _confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _confirm(words: int):
     """Pairs (u, v) of batches with u_text and v_text whose sets are similar enough."""
-    for batch in batches:
-        keep = np.zeros(len(batch), bool)
-        u_text, v_text = batch["u_text"].tolist(), batch["v_text"].tolist()
-        for at, to in _slices([a + b for a, b in zip(u_text, v_text)]):
-            distinct = list(dict.fromkeys([*u_text[at:to], *v_text[at:to]]))
-            sets = dict(zip(distinct, pair_sets(distinct)))
-            for i in range(at, to):
-                a, b = sets[u_text[i]], sets[v_text[i]]
-                if 100 * min(len(a), len(b)) >= PERCENT * max(len(a), len(b)):
-                    common = len(np.intersect1d(a, b, assume_unique=True))
-                    keep[i] = 100 * common >= PERCENT * (len(a) + len(b) - common)
-        yield batch.loc[keep, ["u", "v"]]
-
-
-def _wide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        texts = batch["text"].tolist()
-        for at, to in _slices(texts):
-            yield pd.DataFrame({"v": batch["v"].iloc[at:to].to_numpy(), "wide": wide_bits(pair_sets(texts[at:to]))})
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            keep = np.zeros(len(batch), bool)
+            u_text, v_text = batch["u_text"].tolist(), batch["v_text"].tolist()
+            for at, to in _slices([a + b for a, b in zip(u_text, v_text)]):
+                distinct = list(dict.fromkeys([*u_text[at:to], *v_text[at:to]]))
+                sets = dict(zip(distinct, shingle_sets(distinct, words)))
+                for i in range(at, to):
+                    a, b = sets[u_text[i]], sets[v_text[i]]
+                    if 100 * min(len(a), len(b)) >= PERCENT * max(len(a), len(b)):
+                        common = len(np.intersect1d(a, b, assume_unique=True))
+                        keep[i] = 100 * common >= PERCENT * (len(a) + len(b) - common)
+            yield batch.loc[keep, ["u", "v"]]
+    return run
+
+
+def _wide(words: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            texts = batch["text"].tolist()
+            for at, to in _slices(texts):
+                yield pd.DataFrame({"v": batch["v"].iloc[at:to].to_numpy(), "wide": wide_bits(shingle_sets(texts[at:to], words))})
+    return run
 
 
 def _block_pairs(group: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of a block of outsiders and a block of members whose wide signatures are near.
+    """Pairs of a block of outsiders and a block of members whose signatures or wide signatures are near.
 
     A pair that shares several keys is made only in the bucket of its first one.
     """
@@ -176,7 +187,8 @@ def _block_pairs(group: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     out = []
     for o in np.flatnonzero(rows["outsider"].to_numpy()):
         far = np.bitwise_count(wide[members] ^ wide[o]).sum(axis=1)
-        near = members[(far <= WIDE_ERRORS) & (c[members] != c[o])]
+        wrong = (sigs[members] != sigs[o]).sum(axis=1)
+        near = members[((far <= WIDE_ERRORS) | (wrong <= NEAR_SYMBOLS)) & (c[members] != c[o])]
         if len(near):
             wrong = (sigs[near] != sigs[o]).reshape(-1, CHUNKS, CHUNK_SYMBOLS)
             errors = wrong.sum(axis=2)
@@ -190,7 +202,7 @@ def _block_pairs(group: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"u": pairs[:, 0], "v": pairs[:, 1]})
 
 
-def _large_pairs(rows: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+def _large_pairs(rows: DataFrame, classes: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     """Candidate pairs (u, v) of large open buckets: every outsider against every member of another component.
 
     ``rows``: key, v, c_v, top, size, inside.  The signatures are compared in blocks of BLOCK outsiders by BLOCK
@@ -198,7 +210,7 @@ def _large_pairs(rows: DataFrame, classes: DataFrame, texts: DataFrame) -> DataF
     """
     needed = written(rows.select("v").distinct(), "large-bucket-ids")
     few = needed.count() <= BROADCAST_IDS
-    wide = texts.join(F.broadcast(needed) if few else needed, "v", "left_semi").mapInPandas(_wide, "v long, wide binary")
+    wide = texts.join(F.broadcast(needed) if few else needed, "v", "left_semi").mapInPandas(_wide(words), "v long, wide binary")
     marks = written(wide.join(classes.select("v", "signature"), "v"), "wide-signatures")
     # A document's keys (one per way of its signature at most) travel as one list, so its marks join it once.
     lists = rows.groupBy("v").agg(F.collect_list(F.struct("key", "c_v", "top", "size", "inside")).alias("at"))
@@ -220,8 +232,8 @@ def _large_pairs(rows: DataFrame, classes: DataFrame, texts: DataFrame) -> DataF
 class _Links:
     """The confirmed links so far and their components."""
 
-    def __init__(self, texts: DataFrame, sketches: DataFrame):
-        self.texts, self.sketches, self.found = texts, sketches, None
+    def __init__(self, texts: DataFrame, sketches: DataFrame, words: int):
+        self.texts, self.sketches, self.words, self.found = texts, sketches, words, None
 
     def labelled(self, df: DataFrame, *cols: str) -> DataFrame:
         """``df`` with the component of each column as c_<column>."""
@@ -245,29 +257,42 @@ class _Links:
         t = self.texts
         both = (near.join(t.select(F.col("v").alias("u"), F.col("text").alias("u_text")), "u")
                 .join(t.select("v", F.col("text").alias("v_text")), "v"))
-        links = both.mapInPandas(_confirm, "u long, v long")
+        links = both.mapInPandas(_confirm(self.words), "u long, v long")
         if self.found is not None:
             links = links.unionByName(self.found.select(F.col("v").alias("u"), F.col("component").alias("v")))
         self.found = components(links, name)
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row; ``key`` is a whole number."""
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    signed = written(rows.mapInPandas(_sign, "doc_id long, n_shingles long, class binary, signature binary"), "signed")
-    classes = written(signed.where(F.col("class").isNotNull() & F.col("doc_id").isNotNull()).groupBy("class").agg(
-        F.min("doc_id").alias("v"), F.first("signature").alias("signature")), "classes")
+def text_digest(text: Column) -> Column:
+    """16 bytes that name a text (null as empty)."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5) -> DataFrame:
+    """doc_id, digest (of the text), n_shingles, component_id, kept and chosen of every row; ``key`` is a whole number.
+
+    ``kept``: doc_id is its component's smallest.  ``chosen``: the row has besides the text that stands for the component, which
+    makes one (doc_id, digest) a component.
+    """
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), text_digest(F.col(text)).alias("digest"), F.col(text).alias("text"))
+    signed = written(rows.mapInPandas(_sign(words), "doc_id long, digest binary, n_shingles long, class binary, signature binary"), "signed")
+    first = signed.where(F.col("class").isNotNull() & F.col("doc_id").isNotNull()).groupBy("class").agg(
+        F.min(F.struct("doc_id", "digest")).alias("first"), F.first("signature").alias("signature"))
+    first = first.select("class", "signature", F.col("first.doc_id").alias("v0"), F.col("first.digest").alias("digest0"))
+    # Vertices are numbered in the order of their smallest keys.
+    classes = written(global_running(first, ["v0", "class"], with_rank=True).withColumnRenamed("rank", "v"), "classes")
     keys = classes.select("v", "signature").mapInPandas(_keys, "key long, v long")
     shared = keys.groupBy("key").agg(F.min("v").alias("u"), F.max("v").alias("_max")).where("u < _max").select("key", "u")
     members = written(keys.join(written(shared, "shared-keys"), "key"), "members")
 
-    ids = written(members.select("v").distinct(), "candidates")
+    ids = written(members.select("v").distinct().join(classes.select("v", "v0", "digest0"), "v"), "candidates")
     few = ids.count() <= BROADCAST_IDS
-    texts = rows.withColumnRenamed("doc_id", "v").join(F.broadcast(ids) if few else ids, "v", "left_semi")
-    texts = written(texts.where(F.col("text").isNotNull()), "candidate-texts", compression="zstd")
+    own = (F.col("doc_id") == F.col("v0")) & (F.col("digest") == F.col("digest0"))
+    texts = rows.join(F.broadcast(ids) if few else ids, own).where(F.col("text").isNotNull()).select("v", "text")
+    texts = written(texts.dropDuplicates(["v"]), "candidate-texts", compression="zstd")
     sketches = written(classes.select("v", "signature").mapInPandas(_sketches, "v long, sketch long")
                        .join(ids, "v", "left_semi"), "sketches")
-    links = _Links(texts, sketches)
+    links = _Links(texts, sketches, words)
 
     stars = written(members.where("u <> v").groupBy("u", "v").agg(F.count(F.lit(1)).alias("n")), "stars")
     best = stars.groupBy("v").agg(F.max_by("u", F.struct("n", -F.col("u"))).alias("u"))
@@ -284,13 +309,19 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         "key", F.col("v").alias("u"), F.col("c_v").alias("c_u"))
     rest = open_.where(F.col("size") <= SMALL_BUCKET).join(outside, "key").where("c_u <> c_v").select(
         F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    large = _large_pairs(open_.where(F.col("size") > SMALL_BUCKET), classes, texts)
+    large = _large_pairs(open_.where(F.col("size") > SMALL_BUCKET), classes, texts, words)
     links.add(rest.distinct(), "links-rest", large)
 
-    out = signed.join(classes.select("class", "v"), "class", "left")
-    out = links.labelled(out, "v")
-    own = F.when(F.col("class").isNull(), F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("c_v"))
-    return out.select("doc_id", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
+    # Only linked classes have another's name.
+    heads = classes.select(F.col("v").alias("component"), F.col("v0").alias("head"), F.col("digest0").alias("head_digest"))
+    named = classes.select("class", "v", "v0", "digest0").join(links.found.join(heads, "component"), "v", "left").select(
+        "class", F.coalesce("head", "v0").alias("component_id"), F.coalesce("head_digest", "digest0").alias("_digest"))
+    out = signed.drop("signature").join(named, "class", "left")
+    alone = F.col("class").isNull() | F.col("doc_id").isNull()
+    own = F.when(F.col("class").isNull(), F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component_id"))
+    kept = F.col("doc_id").eqNullSafe(own)
+    return out.select("doc_id", "digest", "n_shingles", own.alias("component_id"), kept.alias("kept"),
+                      F.coalesce(alone | (kept & (F.col("digest") == F.col("_digest"))), F.lit(False)).alias("chosen"))
 
 
 def _sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -11,7 +11,8 @@ from tagsift.llm.substrings import remove_repeats
 
 
 def op2_near_dedup(spark, sf_dir):
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    out = near_duplicates(table(spark, sf_dir, "documents"), words=2)
+    return out.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op3_substrings(spark, sf_dir):

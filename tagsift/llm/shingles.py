@@ -30,13 +30,14 @@ def lower_words(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
-def pair_sets(texts: list[str | None]) -> list[np.ndarray]:
-    """For each text the sorted distinct hashes of its 2-word shingles (of one word: of that word; of none: none)."""
+def shingle_sets(texts: list[str | None], size: int = 5) -> list[np.ndarray]:
+    """For each text the sorted distinct hashes of its shingles of ``size`` words (of fewer words: of all of them; of none: none)."""
     hashes, counts = word_hashes([lower_words(t) for t in texts])
-    first = mix(hashes + _U(0x9E3779B97F4A7C15))
-    both = mix(first[:-1] ^ (hashes[1:] * _U(0xD6E8FEB86659FD93))) if len(hashes) > 1 else hashes[:0]
+    runs = [mix(hashes + _U(0x9E3779B97F4A7C15))]          # runs[k][i]: words i to i + k
+    for k in range(1, size):
+        runs.append(mix(runs[-1][:-1] ^ (hashes[k:] * _U(0xD6E8FEB86659FD93))) if len(runs[-1]) else runs[-1])
     out, at = [], 0
     for n in counts.tolist():
-        out.append(np.unique(both[at:at + n - 1]) if n > 1 else first[at:at + n])
+        out.append(np.unique(runs[-1][at:at + n - size + 1]) if n >= size else runs[n - 1][at:at + 1] if n else hashes[:0])
         at += n
     return out

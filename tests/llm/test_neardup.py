@@ -8,14 +8,14 @@ from tagsift.llm.queries_text import op2_near_dedup
 from tests.conftest import SMALL
 
 
-def plain_set(text):
+def plain_set(text, size=2):
     words = re.findall("[^\x20\x09-\x0d]+", re.sub("[A-Z]+", lambda m: m.group().lower(), text or ""))
-    return {tuple(words[i:i + 2]) for i in range(max(1, len(words) - 1))} if words else set()
+    return {tuple(words[i:i + size]) for i in range(max(1, len(words) - size + 1))} if words else set()
 
 
-def plain_components(rows):
+def plain_components(rows, size=2):
     """doc_id -> (set size, smallest reachable), every pair compared."""
-    sets = {k: plain_set(t) for k, t in rows}
+    sets = {k: plain_set(t, size) for k, t in rows}
     near = {k: {k} for k in sets}
     for a in sets:
         for b in sets:
@@ -34,8 +34,8 @@ def plain_components(rows):
     return {k: (len(sets[k]), out[k]) for k in sets}
 
 
-def check(out, rows):
-    want = plain_components(rows)
+def check(out, rows, size=2):
+    want = plain_components(rows, size)
     for r in out:
         if r.doc_id is not None:
             assert (r.n_shingles, r.component_id) == want[r.doc_id], r
@@ -67,9 +67,10 @@ def test_chains_groups_and_cases(spark):
              (10, "a b " * 40_000), (11, "a b " * 50_000)]
     rng.shuffle(rows)
     df = spark.createDataFrame([(*r, 0) for r in [*rows, (4, "One"), (None, "one")]], "doc_id long, text string, kept int")
-    out = neardup.near_duplicates(df).collect()
-    assert len(out) == len(rows) + 2
-    check(out, rows)
+    for size in (5, 2):
+        out = neardup.near_duplicates(df, words=size).collect()
+        assert len(out) == len(rows) + 2
+        check(out, rows, size)
     assert [(r.component_id, r.kept) for r in out if r.doc_id is None] == [(None, True)]
     assert neardup.near_duplicates(df.limit(0)).count() == 0
 
@@ -97,4 +98,37 @@ def test_large_buckets_in_blocks(spark, monkeypatch):
             words[rng.randrange(120)] = rng.choice(vocab)
         rows.append((k, " ".join(words)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    check(neardup.near_duplicates(df).collect(), rows)
+    check(neardup.near_duplicates(df, words=2).collect(), rows)
+
+
+def test_blocks_take_every_pair_under_the_distance():
+    import pandas as pd
+    rng = np.random.default_rng(4)
+    most = neardup.NEAR_SYMBOLS
+    a = rng.integers(0, 1 << 16, neardup.SYMBOLS).astype(np.uint16)
+    sigs = np.tile(a, (41, 1))
+    for n, row in enumerate(sigs[1:], 1):        # differing in 11 to 30 symbols, never in the first chunk
+        places = rng.choice(np.arange(neardup.CHUNK_SYMBOLS, neardup.SYMBOLS), 11 + n % 20, replace=False)
+        row[places] ^= rng.integers(1, 1 << 16, len(places)).astype(np.uint16)
+    key = int(neardup.chunk_keys(sigs[:1])[0][0])
+    # Wide signatures as far apart as can be: they alone would drop every pair.
+    rows = pd.DataFrame({"key": key, "v": range(41), "c_v": range(41), "signature": [s.tobytes() for s in sigs],
+                         "wide": [b"\x00" * 256] + [b"\xff" * 256] * 40, "outsider": False})
+    both = pd.concat([rows, rows[:1].assign(outsider=True)], ignore_index=True)
+    got = neardup._block_pairs((key, 0, 0), both)
+    want = {n for n in range(1, 41) if 11 + n % 20 <= most}
+    assert set(got.v) == want and len(got) == len(want) and {23, 24} & {11 + n % 20 for n in want} == {23}
+
+
+def test_one_key_at_several_texts(spark):
+    rng = random.Random(6)
+    a, b, c = (" ".join(f"{x}{rng.randrange(9)}{i}" for i in range(80)) for x in "abc")
+    near_a = a.replace(" a", " q", 1)
+    rows = [(0, a), (1, near_a), (1, b), (2, c), (2, c), (2, c + " more"), (3, b)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for size in (5, 2):
+        got = {(r.doc_id, bytes(r.digest)): (r.component_id, r.chosen) for r in neardup.near_duplicates(df, words=size).collect()}
+        import hashlib
+        at = lambda k, t: got[k, hashlib.md5(t.encode()).digest()]
+        assert at(0, a) == (0, True) and at(1, near_a) == (0, False) and at(1, b) == (1, True) and at(3, b) == (1, False)
+        assert at(2, c)[0] == at(2, c + " more")[0] == 2 and at(2, c)[1] != at(2, c + " more")[1]

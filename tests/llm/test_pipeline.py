@@ -16,7 +16,7 @@ def plain_stages(docs, items):
     """Rows (doc_id, text) after each of the first four stages, in plain Python; no host is bad in these tables."""
     kept = [(k, t) for k, t in docs if (c := plain_counts(t))[0] >= 20 and 100 * c[4] <= 30 * c[0]]
     yield kept
-    groups = plain_components(kept)
+    groups = plain_components(kept, 5)
     kept = [(k, t) for k, t in kept if groups[k][1] == k]
     yield kept
     kept = [(k, t) for k, t in kept if not next(plain_hits([(k, t)], _near(t, items)))[2]]
@@ -81,3 +81,13 @@ def test_every_stage_takes_odd_rows(spark):
             ids = [r.doc_id for r in out.collect()]
             assert sorted(map(str, ids)) == ["1", "2", "3", "5", "None", "None"]
         assert stage(spark, docs.limit(0), SMALL).count() == 0
+
+
+def test_near_dedup_decides_by_id_and_text(spark):
+    long = lambda x: " ".join(f"{x}{i}" for i in range(60))
+    rows = [(0, long("a"), "x"), (1, long("a"), "x"), (1, long("b"), "x"), (2, long("c"), "y"), (2, long("c"), "x"), (2, long("d"), "x"),
+            (3, None, "x"), (3, None, "x"), (4, "", "x"), (5, "", "x"), (6, "five five five five", "x"), (7, long("a") + " tail", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, chosen string")
+    got = sorted(map(tuple, corpus_pipeline.near_dedup(spark, docs, SMALL).collect()), key=str)
+    assert got == sorted([(0, long("a"), "x"), (1, long("b"), "x"), (2, long("c"), "x"), (2, long("d"), "x"), (3, None, "x"),
+                          (4, "", "x"), (5, "", "x"), (6, "five five five five", "x")], key=str)
