@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagsift.llm import secrets
-from tagsift.llm.neardup import BROADCAST_IDS, near_duplicates
+from tagsift.llm.neardup import BROADCAST_IDS, near_duplicates, text_digest
 from tagsift.llm.packing import pack
 from tagsift.llm.quality import judge
 from tagsift.llm.shared import table, written
@@ -25,20 +25,24 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest doc_id.
+    """One document of each group of near-duplicates (shingles of five words): the one with the smallest doc_id.
 
-    Groups are those of op2 (shingles of two words, not the five that are usual for such a stage; see README).
-
-    Rows that repeat a doc_id are one document, of which one row stays; rows without a doc_id stay.
+    Rows are told apart by (doc_id, text), so a doc_id at several texts loses only those that are copies.  Of rows
+    that repeat both, one stays: the first by its columns as JSON.  Rows without a doc_id, and of null or empty texts, are copies of
+    nothing and stay; an empty table gives no rows.
     """
-    found = written(near_duplicates(docs), "near-duplicates")
-    gone = written(found.where(~F.col("kept")).select("doc_id").distinct(), "dropped")
-    few = gone.count() <= BROADCAST_IDS
-    kept = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti")
-    repeated = found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1")
-    if repeated.isEmpty():
-        return kept
-    return kept.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).unionByName(kept.where(F.col("doc_id").isNull()))
+    found = near_duplicates(docs, words=5)
+    marks = found.where(F.col("doc_id").isNotNull()).groupBy("doc_id", "digest").agg(
+        F.bool_and("chosen").alias("chosen"), F.count(F.lit(1)).alias("n"))
+    marks = written(marks.where("NOT chosen OR n > 1"), "marks")
+    few = marks.count() <= BROADCAST_IDS
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("doc_id").cast("long").alias("_id"),
+                       text_digest(F.col("text")).alias("_digest"))
+    on = (F.col("_id") == F.col("doc_id")) & (F.col("_digest") == F.col("digest"))
+    rows = rows.join(F.broadcast(marks) if few else marks, on, "left")
+    once = rows.where("chosen IS NULL").select("doc.*")
+    again = rows.where("chosen").groupBy("_id", "_digest").agg(F.min_by("doc", F.to_json("doc")).alias("doc")).select("doc.*")
+    return once.unionByName(again)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
