@@ -6,11 +6,18 @@ the same place of the span.  Kept K-grams (fingerprints) of documents and items
 gives the two texts' offset (diagonal), and along it the words are compared: every run of GUARD or more
 equal words is hit.  Items of fewer than GUARD words are matched whole, by the hash of all their words.
 
-Scale: documents are exploded into fingerprints (two in seven words) and joined in the same stage with
-the items' fingerprints, which are broadcast only when their counted rows are under
-``broadcast_rows``; above it the join shuffles both sides.  Only matches are shuffled after that.  They
-are gathered by document (a document's own matches) and joined back to the texts, where each document
-with matches is split into words once more.
+Repetitive texts: where one fingerprint comes again and again at a step of at most K words, the words repeat with that
+period, and its places are one run.  Two runs don't need all their diagonals: a window that leaves the repeated
+stretch on either side lies on a diagonal that lines up the runs' beginnings or their ends (a few steps around are
+taken, as the ends of a stretch may lose a fingerprint), and windows inside are covered by diagonals an item's stretch apart.
+So a text of one word against such an item costs about their lengths, not the product.
+
+Scale: documents are exploded into fingerprints (two in seven words) and met in the same stage with the
+hashes of the items' fingerprints, which are broadcast only when their counted rows are under
+``broadcast_rows``; above it the join shuffles both sides.  Only fingerprints that an item has are shuffled after that; they
+are gathered by document and hash into runs, then by document and item into diagonals, and joined back to the
+texts, where each document with matches is split into words once more.  Items' words join once per document and item, and are
+broadcast only if they have at most ``BROADCAST_BYTES`` together.
 
 Cases: a null text has no words; a text of any length is read whole; rows with equal key and text share
 one result; a null item id counts as the id "null", equal item ids as one; an empty table on either
@@ -28,6 +35,8 @@ from tagsift.llm.shared import bind, written
 GUARD = 10                      # words of a window
 K = 5                           # words of a K-gram
 BROADCAST_ROWS = 500_000        # item fingerprints (24 bytes each) that may be broadcast
+BROADCAST_BYTES = 32 * 1024 * 1024
+NEAR_STEPS = 2                  # steps around lined-up ends of two runs
 _NO_WORD = "\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -74,29 +83,61 @@ def _sized(df: DataFrame, limit: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df
 
 
+def _runs(places: Column, k: int) -> Column:
+    """array<struct(at, n, q)> of the sorted places of one fingerprint: n of them at steps of q <= k words (one: q = 0)."""
+    def made(p: Column) -> Column:
+        step = lambda i: F.get(p, i) - F.get(p, i - 1)
+        linked = lambda i: (i > 0) & (step(i) <= k)
+        begins = F.filter(F.sequence(F.lit(0), F.size(p) - 1), lambda i: ~linked(i) | (linked(i - 1) & (step(i) != step(i - 1))))
+        return bind(begins, lambda h: F.transform(h, lambda i, no: bind(
+            F.coalesce(F.get(h, no + 1), F.size(p)) - i, lambda n: F.struct(
+                F.get(p, i).alias("at"), n.alias("n"), F.when(n > 1, step(i + 1)).otherwise(0).alias("q")))))
+    return bind(places, made)
+
+
+def _diagonals(own: Column, item: Column, guard: int, k: int) -> Column:
+    """Diagonals on which a run of the document and one of the same fingerprint of an item can have windows."""
+    q = F.greatest(own["q"], item["q"])
+    base = own["at"] - item["at"]
+    around = F.sequence(F.lit(-NEAR_STEPS), F.lit(NEAR_STEPS))
+    # The item's stretch is at least this long; diagonals this many steps apart have every window inside it.
+    apart = F.greatest(F.floor(((item["n"] - 1) * q + (k - guard + 1)) / F.greatest(q, F.lit(1))), F.lit(1))
+    steps = F.concat(around, F.transform(around, lambda x: x + own["n"] - item["n"]),
+                     F.when(own["n"] > 1, F.sequence(F.lit(0), own["n"] - 1, apart.cast("int"))).otherwise(F.array().cast("array<int>")))
+    regular = F.transform(F.array_distinct(steps), lambda t: base + t * q)
+    # Runs of unlike steps: every pair of places.
+    each = F.flatten(F.transform(F.sequence(F.lit(0), own["n"] - 1), lambda x: F.transform(
+        F.sequence(F.lit(0), item["n"] - 1), lambda y: base + x * own["q"] - y * item["q"])))
+    return (F.when((own["n"] == 1) & (item["n"] == 1), F.array(base))
+            .when((own["n"] > 1) & (item["n"] > 1) & (own["q"] != item["q"]), each).otherwise(regular))
+
+
 def matches(docs: DataFrame, items: DataFrame, guard: int, k: int, broadcast_rows: int) -> DataFrame:
-    """_key, _sum, item_no, diagonal of every fingerprint that a document (_key, _sum, _text) shares with an item."""
+    """_key, _sum, item_no, diagonals of every document (_key, _sum, _text) and item that share a fingerprint."""
     words = docs.select("_key", "_sum", item_words(F.col("_text")).alias("_words"))
-    whole = items.where(F.size("item_words") >= guard).select(
-        "item_no", F.explode(fingerprints(F.col("item_words"), guard, k)).alias("f")).select(
-        F.col("f.h").alias("h"), "item_no", F.col("f.at").alias("item_at"))
-    whole = written(whole, "item-fingerprints")
-    found = (words.select("_key", "_sum", F.explode(fingerprints(F.col("_words"), guard, k)).alias("f"))
-             .select("_key", "_sum", F.col("f.h").alias("h"), F.col("f.at").alias("at"))
-             .join(_sized(whole, broadcast_rows), "h")
-             .select("_key", "_sum", "item_no", (F.col("at") - F.col("item_at")).alias("diagonal")))
+    runs = items.where(F.size("item_words") >= guard).select(
+        "item_no", F.explode(fingerprints(F.col("item_words"), guard, k)).alias("f")).groupBy("f.h", "item_no").agg(
+        F.array_sort(F.collect_list("f.at")).alias("places"))
+    runs = written(runs.select("h", "item_no", F.explode(_runs(F.col("places"), k)).alias("item_run")), "item-fingerprints")
+    hashes = written(runs.select("h").distinct(), "item-hashes")
+    own = (words.select("_key", "_sum", F.explode(fingerprints(F.col("_words"), guard, k)).alias("f"))
+           .select("_key", "_sum", F.col("f.h").alias("h"), F.col("f.at").alias("at"))
+           .join(_sized(hashes, broadcast_rows), "h", "left_semi"))
+    own = own.groupBy("_key", "_sum", "h").agg(F.array_sort(F.collect_set("at")).alias("places")).select(
+        "_key", "_sum", "h", F.explode(_runs(F.col("places"), k)).alias("run"))
+    found = own.join(_sized(runs, broadcast_rows), "h").select(
+        "_key", "_sum", "item_no", F.explode(_diagonals(F.col("run"), F.col("item_run"), guard, k)).alias("diagonal"))
     # Short items: one pass for each length that occurs (at most guard - 1 of them).
     short = items.where(F.size("item_words") < guard)
     for n in sorted(r[0] for r in short.select(F.size("item_words")).distinct().collect()):
         own = short.where(F.size("item_words") == n).select(F.xxhash64("item_words").alias("h"), "item_no")
         grams = words.select("_key", "_sum", F.posexplode(_grams(F.col("_words"), n)).alias("diagonal", "h"))
         found = found.unionByName(grams.join(_sized(own, broadcast_rows), "h").select("_key", "_sum", "item_no", "diagonal"))
-    return found.distinct()
+    return found.groupBy("_key", "_sum", "item_no").agg(F.collect_set(F.col("diagonal").cast("int")).alias("diagonals"))
 
 
-def _hit_positions(words: Column, match: Column, guard: int) -> Column:
-    """Positions of the document's words that lie in runs of ``guard`` (or all the item's) equal words."""
-    own, diagonal = match["item_words"], match["diagonal"]
+def _hit_positions(words: Column, own: Column, diagonal: Column, guard: int) -> Column:
+    """Positions of the document's words that lie in runs of ``guard`` (or all the item's words ``own``) equal words on a diagonal."""
     need = F.least(F.lit(guard), F.size(own))
     same = F.array_join(F.transform(own, lambda w, i: F.when(F.get(words, diagonal + i) == w, "1").otherwise("0")), "")
     runs = F.array_join(F.transform(F.split(same, "0"), lambda r: F.when(F.length(r) >= need, r).otherwise(
@@ -115,12 +156,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None
                        F.md5(F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")).alias("_sum"), F.col(text).alias("_text"))
     items = _items(benchmark, item, item_text)
     found = matches(rows.select("_key", "_sum", "_text"), items, guard, k, broadcast_rows)
-    own = (found.join(_sized(items, broadcast_rows // 50), "item_no").groupBy("_key", "_sum")
-           .agg(F.collect_list(F.struct("item", "item_words", "diagonal")).alias("_matches")))
+    size = items.agg(F.sum(F.octet_length(F.array_join("item_words", " ")) + 16 * F.size("item_words"))).first()[0] or 0
+    own = (found.join(F.broadcast(items) if size <= BROADCAST_BYTES else items, "item_no").groupBy("_key", "_sum")
+           .agg(F.collect_list(F.struct("item", "item_words", "diagonals")).alias("_matches")))
     joined = rows.join(own, ["_key", "_sum"], "left")
 
     def judged(words: Column) -> Column:
-        each = F.transform("_matches", lambda m: F.struct(m["item"].alias("item"), _hit_positions(words, m, guard).alias("at")))
+        each = F.transform("_matches", lambda m: F.struct(m["item"].alias("item"), F.array_distinct(F.flatten(F.transform(
+            m["diagonals"], lambda d: _hit_positions(words, m["item_words"], d, guard)))).alias("at")))
         real = F.filter(each, lambda e: F.size(e["at"]) > 0)
         return bind(real, lambda r: F.struct(
             F.array_sort(F.array_distinct(F.flatten(F.transform(r, lambda e: e["at"])))).alias("hits"),

@@ -72,3 +72,32 @@ def test_every_long_shared_span_shares_a_fingerprint_place(spark):
     all_ = fingerprints(item_words(F.col("text")), 10, 5)
     moved = F.transform(own, lambda f: F.struct(f["h"], (f["at"] + F.col("at")).alias("at")))
     assert df.where(~F.arrays_overlap(moved, all_)).count() == 0
+
+
+def test_repetitive_texts_against_every_window(spark):
+    rng = random.Random(21)
+
+    def periodic():
+        out = []
+        for _ in range(rng.randint(1, 4)):
+            q, n = rng.randint(1, 7), rng.randint(1, 45)
+            unit = [rng.choice("ab") for _ in range(q)]
+            out += [unit[i % q] for i in range(n)] + [rng.choice("abc")] * rng.randint(0, 2)
+        return out
+
+    items = [(i, " ".join(periodic())) for i in range(40)]
+    docs = [(i, " ".join(periodic())) for i in range(160)]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    out = decontaminate(df, bench).select("doc.doc_id", "n_words", "hits", "items").collect()
+    assert sorted((str(r[0]), r[1], list(r[2]), list(r[3])) for r in out) == sorted(plain(docs, items))
+
+
+def test_long_text_of_one_word(spark):
+    import time
+    rows = [(0, "w " * 20_000), (1, "x " + "w " * 9), (2, "v w " * 10_000)]
+    bench = [("a", "w " * 2_000), ("b", "w v " * 1_000), ("c", "w " * 30 + "end")]
+    df, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(bench, "item_id string, text string")
+    began = time.time()
+    out = {r[0]: (len(r.hits), r["items"]) for r in decontaminate(df, bench).select("doc.doc_id", "hits", "items").collect()}
+    assert out == {0: (20_000, ["a", "c"]), 1: (0, []), 2: (20_000, ["b"])}
+    assert time.time() - began < 60
