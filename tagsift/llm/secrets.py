@@ -12,13 +12,15 @@ Each distinct string counts once.  Tokens long enough to be scored may be unlabe
 chains find nearer to random by the shorter ones alone don't train the ordinary chain.  Every row of a chain leans on
 a fixed base (random: all characters alike; ordinary: mostly the class of the character before) and keeps a
 fixed share of it however large the counts are, so a character that never occurred costs the same at every
-size of the input.  The chains have ``len(ALPHABET) ** 2`` cells, which is all that reaches the driver.  A token that
-no base span touches and whose ratio is over ``min_ratio`` adds a span of kind ``markov``.
+size of the input.  The chains have ``len(ALPHABET) ** 2`` cells, which is all that reaches the driver.  A run of
+TOKEN_CHARS or more of CHARACTER outside the base spans (also what such a span leaves of a longer run) adds a span of kind
+``markov`` if its ratio is over ``min_ratio``; for runs of fewer than FULL_CHARS, whose mean says less, the limit is higher.
 
 Scale: one pass over the texts finds the patterns (three regular expressions, split and extract, only
 where the text has a match); the training pass takes distinct tokens of each text, then of all texts, by a
 hash aggregate, and sums transitions before it shuffles, of which there are at most a few thousand distinct
-ones; scoring is one expression against a literal array.
+ones; scoring is one expression against a literal array.  Everything about a text is linear in its length and spans:
+running sums are made in blocks, and pieces of a text are read from chunks of CHUNK characters.
 
 Cases: a null text is empty and has no spans; long texts are read whole; repeated rows are scanned each
 on its own; without labelled samples on both sides the models say nothing and only base spans are
@@ -43,7 +45,8 @@ KINDS = ["assign", "access", "hex", "markov"]
 
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-"
 CHARACTER = "[A-Za-z0-9+/_-]"
-TOKEN_CHARS = 20                # shorter tokens aren't scored
+TOKEN_CHARS = 12                # shorter tokens aren't scored
+FULL_CHARS = 20                 # from this length on the limit is min_ratio itself
 TOKEN = f"{CHARACTER}{{{TOKEN_CHARS},}}"
 HIT = "\uffff"                  # stands for a base span when tokens are cut
 SAMPLE_SHARE = 1                # of the hash values of ordinary tokens, one in so many is sampled: all
@@ -53,26 +56,36 @@ CLASS_STEPS = [[0.80, 0.05, 0.05, 0.10], [0.40, 0.40, 0.05, 0.15], [0.05, 0.05,
 CLASS_SHARE = 0.4               # of the ordinary base, so much follows CLASS_STEPS, the rest the single characters
 KEPT = {"random": 0.5, "ordinary": 0.05}    # share of its base that every row of a chain keeps
 MIN_RATIO = 1.0                 # nats per transition
+CHUNK = 1024                    # characters of a piece of a long text
+_BLOCK = 128                    # values of a block of running sums
+_SPAN = "array<struct<start:int,end:int,value:string>>"
+
+
+def _running(values: Column, op) -> Column:
+    """``op`` of every value of a not empty array and all before it, in blocks: appending to one accumulator would copy it every time."""
+    def along(block: Column) -> Column:
+        return F.aggregate(block, F.array().cast("array<int>"), lambda acc, x: F.concat(
+            acc, F.array(F.when(F.size(acc) == 0, x).otherwise(op(F.element_at(acc, F.greatest(F.size(acc), F.lit(1))), x)))))
+
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / _BLOCK).cast("int")),
+                         lambda b: along(F.slice(values, b * _BLOCK + 1, F.lit(_BLOCK))))
+    return bind(blocks, lambda inner: bind(along(F.transform(inner, lambda r: F.element_at(r, -1))), lambda tops: F.flatten(
+        F.transform(inner, lambda r, b: F.transform(r, lambda x: F.when(b == 0, x).otherwise(op(F.get(tops, b - 1), x)))))))
+
+
+def _sum(a: Column, b: Column) -> Column:
+    return a + b
 
 
 def _found(text: Column, pattern: str, group: int, least: int) -> Column:
     """array<struct(start, end, value)> of all matches of a pattern; the text between them gives their places."""
     def located(all_: Column) -> Column:
-        gaps = F.split(text, pattern, -1)
-        # (end of the last match, spans so far); one struct a match, appended in order.
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("spans"))
-
-        def step(acc: Column, i: Column) -> Column:
-            begin = acc["at"] + F.length(F.get(gaps, i))
-            end = begin + F.length(F.get(all_, i))
-            return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(F.struct(
-                begin.alias("start"), end.alias("end"), F.get(all_, i).alias("value")))).alias("spans"))
+        sizes = bind(F.split(text, pattern, -1), lambda gaps: F.transform(all_, lambda m, i: F.length(F.get(gaps, i)) + F.length(m)))
+        return bind(bind(sizes, lambda n: _running(n, _sum)), lambda ends: F.transform(all_, lambda m, i: F.struct(
+            (F.get(ends, i) - F.length(m)).alias("start"), F.get(ends, i).alias("end"), m.alias("value"))))
 
-        return bind(gaps, lambda g: F.aggregate(F.sequence(F.lit(0), F.size(all_) - 1), start, step)["spans"])
-
-    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
     all_ = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    spans = F.when(F.rlike(text, F.lit(pattern)), bind(all_, located)).otherwise(none)
+    spans = F.when(F.rlike(text, F.lit(pattern)), bind(all_, located)).otherwise(F.array().cast(_SPAN))
     return F.filter(spans, lambda s: F.length(F.regexp_extract(s["value"], pattern, group)) >= least)
 
 
@@ -185,9 +198,14 @@ def find_secrets(docs: DataFrame, keep: list[str] | None = None, text: str = "te
     model = F.lit(ratios)
     markov = KINDS.index("markov")
 
+    def over(t: Column) -> Column:
+        short = F.lit(float(FULL_CHARS)) / F.least(F.length(t["value"]), F.lit(FULL_CHARS))
+        return mean_ratio(t["value"], model) > F.lit(min_ratio) * short
+
     def added(spans: Column) -> Column:
-        tokens = F.filter(_found(F.col("text"), TOKEN, 0, TOKEN_CHARS), lambda t: ~F.exists(
-            spans, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])) & (mean_ratio(t["value"], model) > min_ratio))
+        # Base spans are blotted out character by character, so the places stay.
+        free = covered(F.col("text"), spans, lambda fresh, n: F.repeat(F.lit(HIT), n))
+        tokens = bind(free, lambda t: F.filter(_found(t, TOKEN, 0, TOKEN_CHARS), over))
         extra = F.transform(tokens, lambda t: F.struct(t["start"].alias("start"), F.lit(markov).alias("kind"),
                                                        t["end"].alias("end"), t["value"].alias("value")))
         return F.array_sort(F.concat(spans, extra))
@@ -202,15 +220,32 @@ def span_text(spans: Column) -> Column:
                                                                  s["end"].cast("string"))), ",")
 
 
-def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """The text with every span (overlapping ones together) replaced by ``mark``."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+def covered(text: Column, spans: Column, instead) -> Column:
+    """The text with every span replaced by ``instead(fresh, n)``: n characters of it that no earlier span covers, fresh if it
+    begins after or where the earlier ones end."""
+    def built(chunks: Column) -> Column:
+        def piece(a: Column, b: Column) -> Column:
+            """Characters a to b of the text."""
+            def part(c: Column) -> Column:
+                low = F.greatest(a - c * CHUNK, F.lit(0))
+                return F.substring(F.get(chunks, c), low + 1, F.least(b - c * CHUNK, F.lit(CHUNK)) - low)
+            whole = F.transform(F.sequence(F.floor(a / CHUNK).cast("int"), F.floor((b - 1) / CHUNK).cast("int")), part)
+            return F.when(b > a, F.array_join(whole, "")).otherwise("")
+
+        def joined(reach: Column) -> Column:
+            def each(s: Column, i: Column) -> Column:
+                before = F.when(i == 0, 0).otherwise(F.get(reach, i - 1))
+                fresh = s["start"] >= before
+                return F.concat(F.when(fresh, piece(before, s["start"])).otherwise(""),
+                                instead(fresh, F.greatest(s["end"] - F.greatest(s["start"], before), F.lit(0))))
+            # What follows the last span is what the text ends in.
+            return F.concat(F.array_join(F.transform(spans, each), ""), piece(F.element_at(reach, -1), F.length(text)))
+
+        return bind(_running(F.transform(spans, lambda s: s["end"]), F.greatest), joined)
 
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        out = F.when(fresh, F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark)))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.otherwise(acc["out"]).alias("out"))
+    return F.when(F.size(spans) > 0, bind(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0)), built)).otherwise(text)
 
-    done = F.aggregate(spans, start, step)
-    whole = bind(done, lambda d: F.concat(d["out"], F.substring(text, d["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, whole).otherwise(text)
+
+def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
+    """The text with every span (overlapping ones together) replaced by ``mark``."""
+    return covered(text, spans, lambda fresh, n: F.when(fresh, F.lit(mark)).otherwise(""))

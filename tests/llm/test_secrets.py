@@ -86,3 +86,91 @@ def test_dated_paths_and_numbered_names_are_ordinary_at_every_size(spark):
         hits = {r.doc_id: r.n for r in out.selectExpr("doc.doc_id", "size(filter(spans, s -> s.kind = 3)) AS n").collect()}
         assert [n for i, n in enumerate(ORDINARY_NAMES) if hits[-1 - i]] == [], words
         assert sum(hits[-100 - i] for i in range(50)) >= 48
+
+
+def plain_redacted(text):
+    out, at = "", 0
+    for a, b in sorted(tuple(map(int, s.split(":")[1:])) for s in plain_spans(text)):
+        out += text[at:a] + "[SECRET]" if a >= at else ""
+        at = max(at, b)
+    return out + text[at:]
+
+
+def test_many_spans(spark):
+    import time
+    rng = random.Random(3)
+    hexes = " ".join("".join(rng.choice("0123456789abcdef") for _ in range(16)) + rng.choice(["é", "", " 😀"]) for _ in range(200_000))
+    mixed = "".join(rng.choice(["secret=" + "a1" * 8, " é", "AKIA" + "B" * 16, "0" * 17, "token: ", "\n", "Zz/"]) for _ in range(5_000))
+    rows = [(0, hexes), (1, mixed), (2, "x" * 5_000_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    began = time.time()
+    scanned = secrets.scan_base(df, ["doc_id"], "text")
+    out = scanned.select("doc.doc_id", secrets.span_text(scanned.spans).alias("got"), secrets.redact(scanned.text, scanned.spans).alias("red")).collect()
+    assert time.time() - began < 60
+    for r in out:
+        text = dict(rows)[r.doc_id]
+        assert [x for x in r.got.split(",") if x] == plain_spans(text) and r.red == plain_redacted(text)
+
+
+def test_keys_around_base_spans_and_short_keys(spark):
+    rng = random.Random(12)
+    chars = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+
+    def key(n):
+        return "".join(rng.choice(chars) for _ in range(n))
+    made = ["".join(rng.choice("aeiou" if k % 2 else "bcdfglmnprst") for k in range(rng.randint(4, 14))) for _ in range(20_000)]
+    rows = [(i, f"password={key(24)}") for i in range(300)]
+    rows += [(1000 + i, " ".join(made[i:i + 100])) for i in range(0, 20_000, 100)]
+    around = [(100_000 + i, f"see {key(24)}g{'0123456789abcdef'}-{key(24)} here") for i in range(50)]
+    short = [(200_000 + i, f"see {key(16)} here") for i in range(100)]
+    names = [(300_000 + i, f"see {n} here") for i, n in enumerate(
+        ["2024-01-15T10-30", "photo_20240115", "release-2023-11", "1700000000000", "HelloWorldFoo", "user_id_000123", "AbstractFactory", "getUserName2"])]
+    out = secrets.find_secrets(spark.createDataFrame(rows + around + short + names, "doc_id long, text string"))
+    got = {r.doc_id: r for r in out.selectExpr("doc.doc_id", "text", "filter(spans, s -> s.kind = 3) AS m", "filter(spans, s -> s.kind < 3) AS b").collect()}
+    both = [got[100_000 + i] for i in range(50)]
+    assert all(r.text[m.start:m.end] == m.value for r in both for m in r.m)
+    assert all(len(r.b) == 1 and r.b[0].value[-16:] == "0123456789abcdef" for r in both)
+    assert sum(len(r.m) == 2 for r in both) >= 45
+    assert sum(bool(got[200_000 + i].m) for i in range(100)) >= 80
+    assert [n for i, n in names if got[i].m] == []
+    prose = [got[1000 + i] for i in range(0, 20_000, 100)]
+    assert sum(len(r.m) for r in prose) <= 5
+
+
+def test_ratios_against_plain(spark):
+    """The markov spans of the whole table, from counts to spans, in plain Python."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    base = {k: [tuple(map(int, s.split(":")[1:])) for s in plain_spans(t)] for k, t in texts.items()}
+    values = {m.group(g) for t in texts.values() for _, p, g, least in KINDS for m in p.finditer(t) if len(m.group(g)) >= least}
+
+    def blotted(t, spans):
+        marks = [False] * len(t)
+        for a, b in spans:
+            marks[a:b] = [True] * (b - a)
+        return "".join("\uffff" if m else c for c, m in zip(t, marks))
+    free = {r for k, t in texts.items() for r in re.findall(f"[\uffff{secrets.CHARACTER[1:]}{{2,}}", blotted(t, base[k])) if "\uffff" not in r}
+    n = len(secrets.ALPHABET)
+
+    def counts(strings):
+        out = [0] * (n * n)
+        for s in strings:
+            for a, b in zip(s, s[1:]):
+                if a in secrets.ALPHABET and b in secrets.ALPHABET:
+                    out[secrets.ALPHABET.index(a) * n + secrets.ALPHABET.index(b)] += 1
+        return out
+
+    def ratios(random_, ordinary):
+        return [a - b for a, b in zip(secrets._chain(random_, "random"), secrets._chain(ordinary, "ordinary"))]
+
+    def mean(s, model):
+        return sum(model[secrets.ALPHABET.index(a) * n + secrets.ALPHABET.index(b)] for a, b in zip(s, s[1:])) / (len(s) - 1)
+    first = counts(r for r in free if len(r) < secrets.TOKEN_CHARS)
+    model = ratios(counts(values), first)
+    more = counts(r for r in free if len(r) >= secrets.TOKEN_CHARS and mean(r, model) <= 0)
+    model = ratios(counts(values), [a + b for a, b in zip(first, more)])
+    for r in op4_secrets(spark, SMALL).collect():
+        t = blotted(texts[r.doc_id], base[r.doc_id])
+        want = [f"markov:{m.start()}:{m.end()}" for m in re.finditer(secrets.TOKEN, t)
+                if mean(m.group(), model) > secrets.MIN_RATIO * (20 / min(20, len(m.group())))]
+        assert [s for s in r.spans.split(",") if s.startswith("markov")] == want
