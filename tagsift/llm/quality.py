@@ -33,6 +33,8 @@ MAX_SYMBOL_PERCENT = 20         # soft: symbols against words
 MAX_DUP_LINE_PERCENT = 30       # soft: repeated lines against words * lines
 MEAN_WORD_CHARS = (2, 12)       # soft
 MAX_HOST_RATE = 0.5
+BROADCAST_BYTES = 16 * 1024 * 1024   # of names of bad hosts
+SALTS = 64
 LEAST_PRIOR = 10.0              # the prior weighs as much as so many documents, at least
 
 
@@ -118,6 +120,16 @@ def bad_hosts(measured: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataFrame
     return hosts.where(shrunk > max_rate).select("_host")
 
 
+def _with_verdicts(measured: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """``measured`` with _bad (null: not bad).  Bad hosts are few; beyond BROADCAST_BYTES of names a host's rows are spread by a salt."""
+    size = verdicts.agg(F.sum(F.octet_length("_host") + F.lit(32))).first()[0] or 0
+    if size <= BROADCAST_BYTES:
+        return measured.join(F.broadcast(verdicts), "_host", "left")
+    salted = measured.withColumn("_salt", F.pmod(F.hash("_counts"), F.lit(SALTS)))
+    each = verdicts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(each, ["_host", "_salt"], "left").drop("_salt")
+
+
 def judge(docs: DataFrame, keep: list[str] | None = None, text: str = "text", host: str = "source",
           max_rate: float = MAX_HOST_RATE) -> DataFrame:
     """The columns ``keep`` (default: all) in a struct ``doc``, n_words ... n_repeat_words, base_failed, host_failed, kept.
@@ -128,8 +140,7 @@ def judge(docs: DataFrame, keep: list[str] | None = None, text: str = "text", ho
                                text, host),
                        "quality")
     hard, soft = _rules({k: F.col(f"_counts.{k}") for k in COUNTS})
-    verdicts = bad_hosts(measured, max_rate).withColumn("_bad", F.lit(True))
-    out = measured.join(verdicts, "_host", "left")
+    out = _with_verdicts(measured, written(bad_hosts(measured, max_rate).withColumn("_bad", F.lit(True)), "bad-hosts"))
     host_failed = F.coalesce(F.col("_bad"), F.lit(False)) & soft
     return out.select("doc", *[F.col(f"_counts.{k}").alias(k) for k in COUNTS], hard.alias("base_failed"),
                       host_failed.alias("host_failed"), (~hard & ~host_failed).alias("kept"))

@@ -21,8 +21,7 @@ def op9_warc(spark, sf_dir):
     warc.write_archive(pages, path)
     key = pages.schema["page_id"].dataType
     return warc.read_archive(spark, path).select(
-        F.col("key").cast(key).alias("page_id"), F.octet_length("payload").cast("long").alias("payload_bytes"),
-        "payload_digest", "record_type", F.col("refers_to").cast(key).alias("refers_to"))
+        F.col("key").cast(key).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(key).alias("refers_to"))
 
 
 OP9_SQL = """

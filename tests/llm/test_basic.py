@@ -1,11 +1,13 @@
 import hashlib
 import base64
 import math
+import re
 import struct
 import zlib
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tagsift.llm import sharding, warc
 from tagsift.llm.queries_basic import op5_sharding
@@ -68,11 +70,22 @@ def test_archive_round_trip(spark, tmp_path):
                    ("5", "e", "revisit", "5", "WARC-Type: x\r\n\r\nÉ".encode())}
     for r in records.collect():
         assert r.payload_digest == base64.b32encode(hashlib.sha1(bytes(r.payload)).digest()).decode()
+    ids, refers = set(), set()
     for r in warc.record_bytes(records).collect():
         head, _, body = bytes(r.record).partition(b"\r\n\r\n")
+        ids.add(re.search(rb"WARC-Record-ID: (<urn:uuid:[0-9a-f-]{36}>)\r\n", head)[1])
+        refers |= set(re.findall(rb"WARC-Refers-To: (\S+)\r\n", head))
+        assert (b"\r\nWARC-Profile: http" in head) == (b"WARC-Type: revisit" in head) == (b"\r\nWARC-Refers-To: " in head)
         assert body.endswith(b"\r\n\r\n") and int(head.rsplit(b"Content-Length: ", 1)[1]) == len(body) - 4
 
 
+    assert len(ids) == len(rows) and len(refers) == 3 and refers < ids
+    warc.write_archive(pages, f"file://{tmp_path}/other", date=F.concat(F.lit("2024-01-0"), F.col("page_id") % 9, F.lit("T00:00:00Z")))
+    more = warc.read_archive(spark, f"file://{tmp_path}/other").collect()
+    assert not ids & {re.search("<urn:uuid:[^>]*>", r.header)[0].encode() for r in more}
+    assert {re.search("WARC-Date: (.*)\r", r.header)[1] for r in more if r.key == "3"} == {"2024-01-03T00:00:00Z"}
+
+
 def test_archive_short_payloads_and_empty_table(spark, tmp_path):
     pages = spark.createDataFrame([(1, "a", "ab"), (2, "b", "ab"), (3, "c", "long enough"), (4, "d", "long enough")],
                                   "page_id long, url string, html string")

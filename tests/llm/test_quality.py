@@ -1,5 +1,8 @@
 import re
 
+import pytest
+
+from tagsift.llm import quality
 from tagsift.llm.quality import judge
 from tagsift.llm.queries_rules import OP6_SQL, op6_quality
 from tests.conftest import SMALL
@@ -41,7 +44,9 @@ def test_counts_and_cases(spark):
     assert judge(df.limit(0)).count() == 0
 
 
-def test_host_verdicts(spark):
+@pytest.mark.parametrize("limit", [quality.BROADCAST_BYTES, 0])
+def test_host_verdicts(spark, monkeypatch, limit):
+    monkeypatch.setattr(quality, "BROADCAST_BYTES", limit)
     clean = " ".join(f"word{i}" for i in range(40))
     soft = clean + " " + " ".join(f"#{i}" for i in range(30))
     rows = [(i, soft, "bad", 0) for i in range(30)] + [(100 + i, clean, "bad", 0) for i in range(3)]
