@@ -18,7 +18,8 @@ one component has nothing left to find.  In the others, members outside the buck
 are compared with all members of other components, which covers every pair of the bucket that could still
 join two components.  Candidates are pruned by signatures before the exact check, never one under the distance: sketches
 of 64 of the symbols may differ in 24, and in large buckets, which are compared block by block, a pair passes if at
-most 23 symbols differ or if it is near by wide signatures of 2,048 further bits.  Above the distance, at a similarity
+most 23 symbols differ or if it is near by wide signatures of 2,048 further bits; of the former those are
+left out whose sets, counted by hash range, can't have enough in common (a proof, not an estimate).  Above the distance, at a similarity
 of exactly 0.8, the sketches lose a pair with odds of 8 in 10 billion and the wide ones with 1.7 in a million.  What is compared in blocks
 grows with outsiders times members, which nothing exact avoids when very many texts are just too far apart.
 
@@ -59,6 +60,7 @@ SYMBOL_BITS = 16
 SKETCH_ERRORS = 24              # of 64 one-bit symbols; at similarity 0.8 more differ with odds of 8 in 10 billion
 WIDE_BITS = 2048                # one-bit symbols compared in large buckets; similar pairs differ in a tenth at most,
 WIDE_ERRORS = 270               # in more than 270 (five deviations) with odds of 1.7 in a million
+SPREAD_BITS = 9                 # of a hash: the range in which it is counted
 SMALL_BUCKET = 16               # members of a bucket whose open pairs are made by a plain join
 BLOCK = 1024
 PERCENT = 80
@@ -170,17 +172,38 @@ def _wide(words: int):
         for batch in batches:
             texts = batch["text"].tolist()
             for at, to in _slices(texts):
-                yield pd.DataFrame({"v": batch["v"].iloc[at:to].to_numpy(), "wide": wide_bits(shingle_sets(texts[at:to], words))})
+                sets = shingle_sets(texts[at:to], words)
+                yield pd.DataFrame({"v": batch["v"].iloc[at:to].to_numpy(), "wide": wide_bits(sets), "spread": [_spread(s) for s in sets]})
     return run
 
 
+def _spread(own: np.ndarray) -> bytes:
+    """How many of a set's hashes fall into each of SPREAD ranges (255: so many or more)."""
+    counts = np.bincount((own >> _U(64 - SPREAD_BITS)).astype(np.int64), minlength=1 << SPREAD_BITS)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+
+
+def _can_be_similar(spread: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """False for rows of ``spread`` that share too few of their hashes with ``other`` for PERCENT, whatever the hashes are.
+
+    Two sets have in common at most the smaller count of every range.
+    """
+    most = np.minimum(spread, other).sum(axis=1, dtype=np.int64)
+    whole = spread.sum(axis=1, dtype=np.int64) + int(other.sum(dtype=np.int64))
+    full = (spread == 255).any(axis=1) | bool((other == 255).any())
+    return full | (100 * most >= PERCENT * (whole - most))
+
+
 def _block_pairs(group: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     """Pairs of a block of outsiders and a block of members whose signatures or wide signatures are near.
 
+    A pair that only the signatures call near is left out if its hashes' spread proves that it isn't similar.
+
     A pair that shares several keys is made only in the bucket of its first one.
     """
     sigs = np.frombuffer(b"".join(rows["signature"]), np.uint16).reshape(-1, SYMBOLS)
     wide = np.frombuffer(b"".join(rows["wide"]), np.uint64).reshape(-1, WIDE_BITS // 64)
+    spread = np.frombuffer(b"".join(rows["spread"]), np.uint8).reshape(-1, 1 << SPREAD_BITS)
     v, c = rows["v"].to_numpy(), rows["c_v"].to_numpy()
     here = int(np.flatnonzero(chunk_keys(sigs[:1])[0] == group[0])[0])
     members = np.flatnonzero(~rows["outsider"].to_numpy())
@@ -188,7 +211,11 @@ def _block_pairs(group: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     for o in np.flatnonzero(rows["outsider"].to_numpy()):
         far = np.bitwise_count(wide[members] ^ wide[o]).sum(axis=1)
         wrong = (sigs[members] != sigs[o]).sum(axis=1)
-        near = members[((far <= WIDE_ERRORS) | (wrong <= NEAR_SYMBOLS)) & (c[members] != c[o])]
+        open_ = (wrong <= NEAR_SYMBOLS) & (far > WIDE_ERRORS) & (c[members] != c[o])
+        ok = (far <= WIDE_ERRORS) & (c[members] != c[o])
+        if open_.any():
+            ok[open_] = _can_be_similar(spread[members[open_]], spread[o])
+        near = members[ok]
         if len(near):
             wrong = (sigs[near] != sigs[o]).reshape(-1, CHUNKS, CHUNK_SYMBOLS)
             errors = wrong.sum(axis=2)
@@ -210,14 +237,14 @@ def _large_pairs(rows: DataFrame, classes: DataFrame, texts: DataFrame, words: i
     """
     needed = written(rows.select("v").distinct(), "large-bucket-ids")
     few = needed.count() <= BROADCAST_IDS
-    wide = texts.join(F.broadcast(needed) if few else needed, "v", "left_semi").mapInPandas(_wide(words), "v long, wide binary")
+    wide = texts.join(F.broadcast(needed) if few else needed, "v", "left_semi").mapInPandas(_wide(words), "v long, wide binary, spread binary")
     marks = written(wide.join(classes.select("v", "signature"), "v"), "wide-signatures")
     # A document's keys (one per way of its signature at most) travel as one list, so its marks join it once.
     lists = rows.groupBy("v").agg(F.collect_list(F.struct("key", "c_v", "top", "size", "inside")).alias("at"))
-    rows = lists.join(marks, "v").select("v", "signature", "wide", F.explode("at").alias("at")).select(
-        "v", "signature", "wide", "at.*").withColumns({"_o": F.ceil((F.col("size") - F.col("inside")) / BLOCK).cast("int"),
+    rows = lists.join(marks, "v").select("v", "signature", "wide", "spread", F.explode("at").alias("at")).select(
+        "v", "signature", "wide", "spread", "at.*").withColumns({"_o": F.ceil((F.col("size") - F.col("inside")) / BLOCK).cast("int"),
                                               "_m": F.ceil(F.col("size") / BLOCK).cast("int")})
-    keep = ["key", "v", "c_v", "signature", "wide"]
+    keep = ["key", "v", "c_v", "signature", "wide", "spread"]
 
     def every(n: str) -> Column:
         return F.explode(F.sequence(F.lit(0), F.col(n) - 1))

@@ -36,7 +36,7 @@ GUARD = 10                      # words of a window
 K = 5                           # words of a K-gram
 BROADCAST_ROWS = 500_000        # item fingerprints (24 bytes each) that may be broadcast
 BROADCAST_BYTES = 32 * 1024 * 1024
-NEAR_STEPS = 2                  # steps around lined-up ends of two runs
+_PLACE_BITS = 28                # of a numbered hash: more places than a text can have words
 _NO_WORD = "\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -58,13 +58,17 @@ def _grams(words: Column, k: int) -> Column:
 
 
 def fingerprints(words: Column, guard: int, k: int) -> Column:
-    """array<struct(h, at)>: the first least K-gram hash of every guard - k + 1 neighbours."""
-    span = guard - k + 1
+    """array<struct(h, at)>: the first least K-gram hash of every guard - k + 1 neighbours.
+
+    A hash's upper bits and its place make one number, so a window's least number says which place it keeps, and of
+    equal ones the first.
+    """
+    span, place = guard - k + 1, (1 << _PLACE_BITS) - 1
 
     def keep(h: Column) -> Column:
-        def least(j: Column) -> Column:
-            return bind(F.slice(h, j + 1, F.lit(span)), lambda s: j + F.array_position(s, F.array_min(s)).cast("int") - 1)
-        at = F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(h) - span), least))
+        placed = F.transform(h, lambda x, i: F.shiftleft(F.shiftright(x, _PLACE_BITS), _PLACE_BITS) + i)
+        least = bind(placed, lambda v: F.transform(F.sequence(F.lit(0), F.size(v) - span), lambda j: F.array_min(F.slice(v, j + 1, F.lit(span)))))
+        at = F.transform(F.array_distinct(least), lambda v: v.bitwiseAND(F.lit(place)).cast("int"))
         return F.transform(at, lambda p: F.struct(F.get(h, p).alias("h"), p.alias("at")))
 
     none = F.array().cast("array<struct<h:bigint,at:int>>")
@@ -99,7 +103,9 @@ def _diagonals(own: Column, item: Column, guard: int, k: int) -> Column:
     """Diagonals on which a run of the document and one of the same fingerprint of an item can have windows."""
     q = F.greatest(own["q"], item["q"])
     base = own["at"] - item["at"]
-    around = F.sequence(F.lit(-NEAR_STEPS), F.lit(NEAR_STEPS))
+    # A stretch's last K-grams may be kept in one text and not in the other, guard - k + 1 words of them at most.
+    near = (F.ceil(F.lit(guard - k + 1) / F.greatest(q, F.lit(1))) + 1).cast("int")
+    around = F.sequence(-near, near)
     # The item's stretch is at least this long; diagonals this many steps apart have every window inside it.
     apart = F.greatest(F.floor(((item["n"] - 1) * q + (k - guard + 1)) / F.greatest(q, F.lit(1))), F.lit(1))
     steps = F.concat(around, F.transform(around, lambda x: x + own["n"] - item["n"]),

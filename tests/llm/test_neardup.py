@@ -113,7 +113,7 @@ def test_blocks_take_every_pair_under_the_distance():
     key = int(neardup.chunk_keys(sigs[:1])[0][0])
     # Wide signatures as far apart as can be: they alone would drop every pair.
     rows = pd.DataFrame({"key": key, "v": range(41), "c_v": range(41), "signature": [s.tobytes() for s in sigs],
-                         "wide": [b"\x00" * 256] + [b"\xff" * 256] * 40, "outsider": False})
+                         "wide": [b"\x00" * 256] + [b"\xff" * 256] * 40, "spread": [b"\x03" * 512] * 41, "outsider": False})
     both = pd.concat([rows, rows[:1].assign(outsider=True)], ignore_index=True)
     got = neardup._block_pairs((key, 0, 0), both)
     want = {n for n in range(1, 41) if 11 + n % 20 <= most}
@@ -132,3 +132,18 @@ def test_one_key_at_several_texts(spark):
         at = lambda k, t: got[k, hashlib.md5(t.encode()).digest()]
         assert at(0, a) == (0, True) and at(1, near_a) == (0, False) and at(1, b) == (1, True) and at(3, b) == (1, False)
         assert at(2, c)[0] == at(2, c + " more")[0] == 2 and at(2, c)[1] != at(2, c + " more")[1]
+
+
+def test_spread_never_drops_a_similar_pair():
+    rng = np.random.default_rng(9)
+    for n in (1, 5, 100, 3000, 200_000):
+        for share in (0.0, 0.5, 0.7, 0.78, 0.8, 0.85, 1.0):
+            a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2))
+            b = a.copy()
+            b[:int(len(b) * (1 - share) / (1 + share))] += np.uint64(1)
+            rows = np.stack([np.frombuffer(neardup._spread(x), np.uint8) for x in (a, b)])
+            common = len(np.intersect1d(a, b))
+            if 100 * common >= 80 * (len(a) + len(b) - common):
+                assert neardup._can_be_similar(rows[:1], rows[1])[0]
+    far = np.stack([np.frombuffer(neardup._spread(rng.integers(0, 1 << 63, 300).astype(np.uint64) * np.uint64(2)), np.uint8) for _ in range(2)])
+    assert not neardup._can_be_similar(far[:1], far[1])[0]
