@@ -104,18 +104,14 @@ def shard_column(doc_id: Column, n: int = 300) -> Column:
     return F.lpad(F.pmod(doc_id, F.lit(n)).cast("string"), len(str(n - 1)), "0")
 
 
-def write_sharded(df: DataFrame, path: str, n: int = 300, files_per_shard: int = 1,
-                  fmt: str = "parquet") -> None:
+def write_sharded(df: DataFrame, path: str, n: int = 300, fmt: str = "parquet") -> None:
     """SNK-01: write partitioned by shard, one directory per shard.
 
-    Rows are exchanged on (shard, hash(doc_id) mod files_per_shard), so each
-    shard is written by ``files_per_shard`` tasks: few files per directory, and
-    a large shard is still split over several tasks.
+    Rows are brought together by shard and then rebalanced: tasks follow the written sizes, so small shards
+    share a task and a large shard is split over several (one file each).
     """
-    salt = F.pmod(F.xxhash64("doc_id"), F.lit(files_per_shard))
-    (df.withColumn("shard", shard_column(F.col("doc_id"), n))
-       .repartition(F.col("shard"), salt)
-       .write.mode("overwrite").partitionBy("shard").format(fmt).save(path))
+    rows = df.withColumn("shard", shard_column(F.col("doc_id"), n))
+    rows.hint("rebalance", F.col("shard")).write.mode("overwrite").partitionBy("shard").format(fmt).save(path)
 
 
 def shard_range(df: DataFrame, lo: int, hi: int, n: int = 300) -> DataFrame:

@@ -8,12 +8,10 @@ from tagsift.session import checkpoint_path
 from tagsift.sources.fixtures import fixture
 from tagsift.streaming.running import running_confusion, streaming_local_evidence
 
-N_FILES = 4
-
-
-def _land(df, path, n_files, by):
-    """Write the rows as n files (the 'arriving' inputs), cut by ``by``."""
-    df.repartition(n_files, by).write.mode("overwrite").parquet(path)
+def _land(df, path, by):
+    """Write the rows as files (the 'arriving' inputs), cut by ``by``; as many as the session has shuffle partitions."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(n, by).write.mode("overwrite").parquet(path)
 
 
 def q_stream_confusion(spark, sf):
@@ -21,7 +19,7 @@ def q_stream_confusion(spark, sf):
     run = uuid.uuid4().hex
     src = checkpoint_path(spark, f"st01-src-{run}")
     e = fixture(spark, sf, "fx_eval")
-    _land(e, src, N_FILES, "row_id")
+    _land(e, src, "row_id")
     return running_confusion(spark, src, e.schema, checkpoint_path(spark, f"st01-ckpt-{run}"), f"st01_{run}")
 
 

@@ -12,6 +12,9 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tagsift.operators.ordered import global_running
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -161,7 +164,7 @@ l AS (SELECT 0 AS grp, pos AS ord, tok AS token FROM (SELECT posexplode(array('[
       UNION ALL SELECT 2, c, '##' || chr(c) FROM (SELECT explode(sequence(97, 122)) AS c)
       UNION ALL SELECT 3, 0, word FROM w WHERE n >= 20
       UNION ALL SELECT DISTINCT 4, 0, '##' || right(word, 2) FROM w WHERE n >= 20 AND length(word) >= 2)
-SELECT token, CAST(row_number() OVER (ORDER BY grp, ord, token) - 1 AS INT) AS line_no FROM l
+SELECT grp, ord, token FROM l
 """
 _VOCAB_DUCK = """
 WITH t AS (SELECT unnest(string_split(regexp_replace(lower(text), '[^a-z]+', ' ', 'g'), ' ')) AS word FROM documents),
@@ -250,7 +253,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     text = SPARK_SQL[name]
     used = sorted(set(_PLACEHOLDER.findall(text)))
-    return spark.sql(text, **{t: table(spark, sf_dir, t) for t in used})
+    rows = spark.sql(text, **{t: table(spark, sf_dir, t) for t in used})
+    if name == "fx_vocab_line":                  # numbered without a single-task window
+        rows = global_running(rows, ["grp", "ord", "token"], with_rank=True).select("token", (F.col("rank") - 1).cast("int").alias("line_no"))
+    return rows
 
 
 def duck_with(*names: str) -> str:
