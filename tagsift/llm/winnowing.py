@@ -37,17 +37,20 @@ K = 5                           # words of a K-gram
 BROADCAST_ROWS = 500_000        # item fingerprints (24 bytes each) that may be broadcast
 BROADCAST_BYTES = 32 * 1024 * 1024
 _PLACE_BITS = 28                # of a numbered hash: more places than a text can have words
-_NO_WORD = "\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F"
+# Fixed value: word characters, all but ASCII's controls, signs and blanks.
+_WORD = "\\p{Alnum}\\P{ASCII}"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def item_words(text: Column) -> Column:
-    low = F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER)
-    return F.filter(F.split(low, f"[{_NO_WORD}]+"), lambda w: w != "")
+    # lower() touches A-Z alone in a text of ASCII, and is much cheaper than translate().
+    whole = F.coalesce(text, F.lit(""))
+    low = F.when(F.octet_length(whole) == F.length(whole), F.lower(whole)).otherwise(F.translate(whole, _UPPER, _LOWER))
+    return F.filter(F.split(low, f"[^{_WORD}]+"), lambda w: w != "")
 
 
 def count_words(text: Column) -> Column:
-    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit("[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"))
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(f"[{_WORD}]+"))
 
 
 def _grams(words: Column, k: int) -> Column:
@@ -57,6 +60,17 @@ def _grams(words: Column, k: int) -> Column:
                   ).otherwise(F.array().cast("array<long>"))
 
 
+def _windowed(values: Column, n: int, join) -> Column:
+    """``join`` of the values of every n neighbours, from windows of half the size that may overlap."""
+    def grow(v: Column, size: int) -> Column:
+        step = min(size, n - size)
+        if step == 0:
+            return v
+        left = F.greatest(F.size(v) - step, F.lit(0))
+        return bind(F.zip_with(F.slice(v, F.lit(1), left), F.slice(v, F.lit(1 + step), left), join), lambda w: grow(w, size + step))
+    return grow(values, 1)
+
+
 def fingerprints(words: Column, guard: int, k: int) -> Column:
     """array<struct(h, at)>: the first least K-gram hash of every guard - k + 1 neighbours.
 
@@ -67,12 +81,13 @@ def fingerprints(words: Column, guard: int, k: int) -> Column:
 
     def keep(h: Column) -> Column:
         placed = F.transform(h, lambda x, i: F.shiftleft(F.shiftright(x, _PLACE_BITS), _PLACE_BITS) + i)
-        least = bind(placed, lambda v: F.transform(F.sequence(F.lit(0), F.size(v) - span), lambda j: F.array_min(F.slice(v, j + 1, F.lit(span)))))
+        least = bind(placed, lambda v: _windowed(v, span, lambda a, b: F.least(a, b)))
         at = F.transform(F.array_distinct(least), lambda v: v.bitwiseAND(F.lit(place)).cast("int"))
         return F.transform(at, lambda p: F.struct(F.get(h, p).alias("h"), p.alias("at")))
 
     none = F.array().cast("array<struct<h:bigint,at:int>>")
-    return F.when(F.size(words) >= guard, bind(_grams(words, k), keep)).otherwise(none)
+    hashes = bind(F.transform(words, lambda w: F.xxhash64(w)), lambda v: _windowed(v, k, lambda a, b: F.xxhash64(a, b)))
+    return F.when(F.size(words) >= guard, bind(hashes, keep)).otherwise(none)
 
 
 def _items(benchmark: DataFrame, item: str, text: str) -> DataFrame:
