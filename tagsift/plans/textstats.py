@@ -49,14 +49,22 @@ def q_error_ratios(spark, sf):
 
 
 def _names(spark, sf):
+    """Frequent words, the two- and three-word runs of the benchmark texts, and second identifiers of very frequent words."""
     w = fixture(spark, sf, "fx_word").where(F.col("n") >= 50)
-    code = F.element_at(F.array(F.lit(-1), F.lit(-2), F.lit(-26), F.lit(9606)), (F.length("word") % 4 + 1).cast("int"))
-    return w.select(F.col("word").alias("name"), code.alias("type"), F.col("word").alias("identifier"))
+    ws = F.filter(F.split(F.regexp_replace(F.lower("text"), "[^a-z]+", " "), " "), lambda x: x != "")
+    b = table(spark, sf, "benchmark").select(ws.alias("ws"))
+    phrases = [b.where(F.size("ws") >= k).select(F.explode(F.transform(F.sequence(F.lit(1), F.size("ws") - k + 1),
+               lambda i: F.array_join(F.slice("ws", i, F.lit(k)), " "))).alias("name")) for k in (2, 3)]
+    names = w.select(F.col("word").alias("name")).unionByName(phrases[0]).unionByName(phrases[1]).distinct()
+    code = F.element_at(F.array(F.lit(-1), F.lit(-2), F.lit(-26), F.lit(9606)), (F.length("name") % 4 + 1).cast("int"))
+    again = w.where(F.col("n") >= 200).select(F.col("word").alias("name"), F.lit(-21).alias("type"),
+                                              F.concat(F.lit("syn:"), "word").alias("identifier"))
+    return names.select("name", code.alias("type"), F.col("name").alias("identifier")).unionByName(again)
 
 
 def q_dictionary_tags(spark, sf):
-    """JN-14: tag every document with the names of the frequent-word dictionary (case-insensitive)."""
-    return ts.tag_documents(table(spark, sf, "documents").select("doc_id", "text"), _names(spark, sf), max_words=1)
+    """JN-14: tag every document with names of one to three words (case-insensitive), longest match per start."""
+    return ts.tag_documents(table(spark, sf, "documents").select("doc_id", "text"), _names(spark, sf), max_words=3)
 
 
 QUERIES = {
@@ -94,11 +102,26 @@ SELECT word, count(*) AS "count" FROM rw JOIN tw USING (word) GROUP BY word""",
 SELECT e.type, e.phrase, e."count" AS errors, g."count" AS gold, e."count" / g."count" AS ratio
 FROM err e JOIN gold g ON e.type = g.type AND e.phrase = g.phrase WHERE e."count" >= 2""",
     "dictionary_tags": duck_with("fx_word") + """,
-nm AS (SELECT word AS name, [-1, -2, -26, 9606][length(word) % 4 + 1] AS type, word AS identifier FROM fx_word WHERE n >= 50),
+bw AS (SELECT list_filter(string_split(regexp_replace(lower(text), '[^a-z]+', ' ', 'g'), ' '), lambda x: x <> '') AS ws FROM benchmark),
+ph AS (SELECT unnest([array_to_string(ws[i:i + 1], ' ') for i in range(1, len(ws))]
+                     || [array_to_string(ws[i:i + 2], ' ') for i in range(1, len(ws) - 1)]) AS name FROM bw),
+nn AS (SELECT word AS name FROM fx_word WHERE n >= 50 UNION SELECT name FROM ph),
+nm AS (SELECT name, [-1, -2, -26, 9606][length(name) % 4 + 1] AS type, name AS identifier FROM nn
+       UNION ALL SELECT word, -21, 'syn:' || word FROM fx_word WHERE n >= 200),
 r AS (SELECT doc_id, unnest(regexp_extract_all(text, '([A-Za-z]+|[^A-Za-z]+)', 1)) AS run,
              unnest(range(len(regexp_extract_all(text, '([A-Za-z]+|[^A-Za-z]+)', 1)))) AS i FROM documents),
 o AS (SELECT doc_id, i, run, coalesce(sum(length(run)) OVER (PARTITION BY doc_id ORDER BY i
-        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM r)
-SELECT o.doc_id, CAST(o.start AS INTEGER) AS start, CAST(o.start + length(o.run) - 1 AS INTEGER) AS stop, nm.type, nm.identifier
-FROM o JOIN nm ON lower(o.run) = nm.name WHERE regexp_matches(o.run, '^[A-Za-z]+$')""",
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM r),
+rw AS (SELECT doc_id, lower(run) AS run, start, start + length(run) - 1 AS stop,
+              row_number() OVER (PARTITION BY doc_id ORDER BY i) AS idx FROM o WHERE regexp_matches(run, '^[A-Za-z]+$')),
+gr AS (SELECT doc_id, idx, start, stop, 1 AS k, run AS name FROM rw
+       UNION ALL SELECT a.doc_id, a.idx, a.start, b.stop, 2, a.run || ' ' || b.run
+                 FROM rw a JOIN rw b ON b.doc_id = a.doc_id AND b.idx = a.idx + 1
+       UNION ALL SELECT a.doc_id, a.idx, a.start, c.stop, 3, a.run || ' ' || b.run || ' ' || c.run
+                 FROM rw a JOIN rw b ON b.doc_id = a.doc_id AND b.idx = a.idx + 1
+                           JOIN rw c ON c.doc_id = a.doc_id AND c.idx = a.idx + 2),
+mt AS (SELECT gr.* FROM gr WHERE name IN (SELECT name FROM nm)),
+lg AS (SELECT m.* FROM mt m ANTI JOIN mt o ON o.doc_id = m.doc_id AND o.idx = m.idx AND o.k > m.k),
+kp AS (SELECT l.* FROM lg l ANTI JOIN lg e ON e.doc_id = l.doc_id AND e.idx < l.idx AND e.idx >= l.idx - 2 AND e.idx + e.k > l.idx)
+SELECT doc_id, CAST(start AS INTEGER) AS start, CAST(stop AS INTEGER) AS stop, type, identifier FROM kp JOIN nm USING (name)""",
 }

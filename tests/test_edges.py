@@ -288,3 +288,15 @@ def test_checkpoint_folder_must_be_set_on_a_cluster():
         ensure_checkpoint_dir(session(**{"spark.master": "spark://host:7077"}))
     assert ensure_checkpoint_dir(session(**{"spark.master": "yarn", "spark.checkpoint.dir": "hdfs://x"})) == "hdfs://x" == seen[0]
     assert ensure_checkpoint_dir(session(**{"spark.master": "local[2]"})) == seen[1]
+
+
+def test_dictionary_tags_longest_match_and_homonyms(spark):
+    from tagsift.operators.textstats import tag_documents
+    docs = spark.createDataFrame([(1, "Heat shock protein, heat"), (2, None), (3, ""), (4, "...")], "doc_id int, text string")
+    names = spark.createDataFrame([("heat shock", -1, "hs"), ("Heat", -2, "h1"), ("heat", -2, "h2"), ("shock protein", -1, "sp"),
+                                   ("protein", -26, "p"), ("protein", -26, "p")], "name string, type int, identifier string")
+    got = sorted(tuple(r) for r in tag_documents(docs, names).collect())
+    # "shock protein" starts inside "heat shock"; "protein" inside "shock protein"; both identifiers of "heat" stay.
+    assert got == [(1, 0, 9, -1, "hs"), (1, 20, 23, -2, "h1"), (1, 20, 23, -2, "h2")]
+    alone = sorted(tuple(r) for r in tag_documents(docs, names, max_words=1).collect())
+    assert alone == [(1, 0, 3, -2, "h1"), (1, 0, 3, -2, "h2"), (1, 11, 17, -26, "p"), (1, 20, 23, -2, "h1"), (1, 20, 23, -2, "h2")]

@@ -38,13 +38,6 @@ def _classifier_chain(rows):
     assert len(keys) == len(set(keys))
 
 
-def _span_features(rows):
-    for r in rows:
-        assert len(r["input_ids"]) == len(r["input_mask"]) == len(r["segment_ids"]) == 64
-        assert set(r["input_mask"]) <= {0, 1} and r["input_mask"][0] == 1      # [CLS] leads; padding keeps the span centred
-        assert 0 <= r["label_id"] < len(CLASSES) and not any(r["segment_ids"])
-
-
 def _pretrain(rows):
     assert all(len(r["tokens"]) <= 128 and 1 <= len(r["masked_lm_positions"]) <= 20 for r in rows)
     assert {r["dupe"] for r in rows} == set(range(1, 11))
@@ -58,7 +51,7 @@ def _feed(rows):
 
 
 INVARIANTS = {"classifier_scores": _classifier_scores, "classifier_grid": _classifier_grid,
-              "classifier_chain_evidence": _classifier_chain, "span_features": _span_features,
+              "classifier_chain_evidence": _classifier_chain,
               "pretrain_instances": _pretrain, "training_feed": _feed}
 
 
