@@ -112,7 +112,7 @@ r AS (SELECT doc_id, unnest(regexp_extract_all(text, '([A-Za-z]+|[^A-Za-z]+)', 1
              unnest(range(len(regexp_extract_all(text, '([A-Za-z]+|[^A-Za-z]+)', 1)))) AS i FROM documents),
 o AS (SELECT doc_id, i, run, coalesce(sum(length(run)) OVER (PARTITION BY doc_id ORDER BY i
         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM r),
-rw AS (SELECT doc_id, lower(run) AS run, start, start + length(run) - 1 AS stop,
+rw AS MATERIALIZED (SELECT doc_id, lower(run) AS run, start, start + length(run) - 1 AS stop,
               row_number() OVER (PARTITION BY doc_id ORDER BY i) AS idx FROM o WHERE regexp_matches(run, '^[A-Za-z]+$')),
 gr AS (SELECT doc_id, idx, start, stop, 1 AS k, run AS name FROM rw
        UNION ALL SELECT a.doc_id, a.idx, a.start, b.stop, 2, a.run || ' ' || b.run
@@ -120,8 +120,9 @@ gr AS (SELECT doc_id, idx, start, stop, 1 AS k, run AS name FROM rw
        UNION ALL SELECT a.doc_id, a.idx, a.start, c.stop, 3, a.run || ' ' || b.run || ' ' || c.run
                  FROM rw a JOIN rw b ON b.doc_id = a.doc_id AND b.idx = a.idx + 1
                            JOIN rw c ON c.doc_id = a.doc_id AND c.idx = a.idx + 2),
-mt AS (SELECT gr.* FROM gr WHERE name IN (SELECT name FROM nm)),
-lg AS (SELECT m.* FROM mt m ANTI JOIN mt o ON o.doc_id = m.doc_id AND o.idx = m.idx AND o.k > m.k),
-kp AS (SELECT l.* FROM lg l ANTI JOIN lg e ON e.doc_id = l.doc_id AND e.idx < l.idx AND e.idx >= l.idx - 2 AND e.idx + e.k > l.idx)
+mt AS MATERIALIZED (SELECT gr.* FROM gr WHERE name IN (SELECT name FROM nm)),
+lg AS MATERIALIZED (SELECT m.* FROM mt m ANTI JOIN mt o ON o.doc_id = m.doc_id AND o.idx = m.idx AND o.k > m.k),
+k1 AS (SELECT l.* FROM lg l ANTI JOIN lg e ON e.doc_id = l.doc_id AND e.idx = l.idx - 1 AND e.k > 1),
+kp AS (SELECT l.* FROM k1 l ANTI JOIN lg e ON e.doc_id = l.doc_id AND e.idx = l.idx - 2 AND e.k > 2)
 SELECT doc_id, CAST(start AS INTEGER) AS start, CAST(stop AS INTEGER) AS stop, type, identifier FROM kp JOIN nm USING (name)""",
 }
