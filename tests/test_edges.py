@@ -300,3 +300,26 @@ def test_dictionary_tags_longest_match_and_homonyms(spark):
     assert got == [(1, 0, 9, -1, "hs"), (1, 20, 23, -2, "h1"), (1, 20, 23, -2, "h2")]
     alone = sorted(tuple(r) for r in tag_documents(docs, names, max_words=1).collect())
     assert alone == [(1, 0, 3, -2, "h1"), (1, 0, 3, -2, "h2"), (1, 11, 17, -26, "p"), (1, 20, 23, -2, "h1"), (1, 20, 23, -2, "h2")]
+
+
+def test_pretrain_records_against_plain_python(spark):
+    from tagsift.operators.pretrain import instances, records
+    docs = spark.createDataFrame([(1, "One two. Three four! Five six seven? Eight."), (2, "a b c d e f g\nh i"), (3, ""), (4, None)],
+                                 "doc_id long, text string")
+    names = ["[PAD]", "[UNK]", "[CLS]", "[SEP]", "[MASK]", "One", "two", "a", "b", "c", "."]
+    vocab = spark.createDataFrame([(t, i) for i, t in enumerate(names)], "token string, id int")
+    words = spark.createDataFrame([("a", 0), ("b", 1)], "token string, word_no long")
+    inst = instances(docs, words, max_seq_length=16, dupe_factor=3)
+    number = lambda tokens: [names.index(t) if t in names else 1 for t in tokens]
+    fill = lambda values, n, zero=0: list(values) + [zero] * (n - len(values))
+    want = {(r["doc_id"], r["dupe"], r["inst_no"]): (
+        fill(number(r["tokens"]), 16), fill([1] * len(r["tokens"]), 16), fill(r["segment_ids"], 16), fill(r["masked_lm_positions"], 4),
+        fill(number(r["masked_lm_labels"]), 4), fill([1.0] * len(r["masked_lm_positions"]), 4, 0.0), int(r["is_random_next"]))
+        for r in inst.collect()}
+    got = {tuple(r[:3]): tuple(list(v) if isinstance(v, list) else v for v in r[3:]) for r in records(inst, vocab, 16, 4).collect()}
+    assert want and got == want
+    with pytest.raises(Exception, match="more than 4 places"):
+        records(inst, vocab, 4, 4).collect()
+    assert records(inst.limit(0), vocab, 16, 4).count() == 0
+    with pytest.raises(ValueError):
+        records(inst, vocab.where("token <> '[UNK]'"), 16, 4)
