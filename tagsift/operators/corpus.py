@@ -85,6 +85,16 @@ def add_rank(matches: DataFrame, ranks: DataFrame, default: str = "unknown") ->
     return matches.join(r, "identifier", "left").withColumn("rank", F.coalesce("rank", F.lit(default)))
 
 
+def missed_keys(rows: DataFrame, table: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """JN-02 / JN-06, misses: key values of ``rows`` that ``table`` lacks, and the number of rows each of them leaves out.
+
+    Rows are counted per key before the join, so a hot key meets the table as one row.  A null never meets a
+    partner and is reported as null.
+    """
+    counted = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))
+    return counted.join(table.select(*keys), list(keys), "left_anti")
+
+
 def species_matches(matches: DataFrame, ranks: DataFrame, organism_type: int = -2,
                     order: Sequence[str] = ("doc_id", "line_no")) -> DataFrame:
     """Q-SPECIES: organism matches (FLT-03), first per span (WIN-02), ranked (JN-02), species only (FLT-04)."""

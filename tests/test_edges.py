@@ -323,3 +323,13 @@ def test_pretrain_records_against_plain_python(spark):
     assert records(inst.limit(0), vocab, 16, 4).count() == 0
     with pytest.raises(ValueError):
         records(inst, vocab.where("token <> '[UNK]'"), 16, 4)
+
+
+def test_missed_keys(spark):
+    from tagsift.operators.corpus import missed_keys
+    rows = spark.createDataFrame([("p53", "ggp"), ("p53", "ggp"), ("p53", "che"), (None, "ggp"), ("brca", "ggp")], "name string, type string")
+    known = spark.createDataFrame([("p53", "che", 1), ("brca", "ggp", 2), ("brca", "ggp", 3)], "name string, type string, n_rows int")
+    got = missed_keys(rows, known, ["name", "type"])
+    assert sorted(map(tuple, got.collect()), key=str) == [("p53", "ggp", 2), (None, "ggp", 1)]
+    assert missed_keys(rows.limit(0), known, ["name", "type"]).count() == 0
+    assert missed_keys(rows, known.limit(0), ["name", "type"]).count() == 4
