@@ -88,6 +88,13 @@ def q_lblock_diff(spark, sf):
                                ratio=1000.0, function="diff", types=["che", "ggp"])
 
 
+def q_lblock_simple(spark, sf):
+    """FN-12 `simple_ratio` ranking on the block list."""
+    local = _local_once(spark, sf)
+    return ls.local_block_list(local, ev.global_evidence(local, 2, 0.0, types=["che", "ggp"]),
+                               ratio=1000.0, function="simple_ratio", types=["che", "ggp"])
+
+
 def _lists(spark, sf):
     local = _local_once(spark, sf)
     gprob = ev.global_evidence(local, 2, 0.0, types=["che", "ggp"])
@@ -156,6 +163,7 @@ QUERIES = {
     "global_probabilities": q_gprob,
     "local_block": q_lblock,
     "local_block_diff": q_lblock_diff,
+    "local_block_simple": q_lblock_simple,
     "local_allow": q_lallow,
     "local_allow_r1e3": q_lallow_r1e3,
     "auto_local": q_auto_local,
@@ -266,6 +274,7 @@ SELECT avg_prob * "count" AS expected_errors, "count", avg_prob, name, type FROM
 WHERE type IN ('che', 'ggp') AND "count" >= 2 AND avg_prob >= 0.0e0 AND """ + _NOT_PROT,
     "local_block": _block_sql(_INV_RATIO),
     "local_block_diff": _block_sql("(1 - l_p) - g_p"),
+    "local_block_simple": _block_sql("CASE WHEN 1 - (1 - g_p) = 0 THEN 'inf'::DOUBLE ELSE (1 - l_p) / (1 - (1 - g_p)) END"),
     "local_allow": _allow_sql("1e15"),
     "local_allow_r1e3": _allow_sql("1e3"),
     "auto_local": _LISTS + " SELECT * FROM auto_local",
