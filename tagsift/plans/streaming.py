@@ -8,10 +8,14 @@ from tagsift.session import checkpoint_path
 from tagsift.sources.fixtures import fixture
 from tagsift.streaming.running import running_confusion, streaming_local_evidence
 
+BATCHES = 8
+
+
 def _land(df, path, by):
-    """Write the rows as files (the 'arriving' inputs), cut by ``by``; as many as the session has shuffle partitions."""
+    """Write the rows as files (the 'arriving' inputs), cut by ``by``; as many as the session has shuffle partitions.  Their number is returned."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     df.repartition(n, by).write.mode("overwrite").parquet(path)
+    return n
 
 
 def q_stream_confusion(spark, sf):
@@ -19,8 +23,8 @@ def q_stream_confusion(spark, sf):
     run = uuid.uuid4().hex
     src = checkpoint_path(spark, f"st01-src-{run}")
     e = fixture(spark, sf, "fx_eval")
-    _land(e, src, "row_id")
-    return running_confusion(spark, src, e.schema, checkpoint_path(spark, f"st01-ckpt-{run}"), f"st01_{run}")
+    n = _land(e, src, "row_id")
+    return running_confusion(spark, src, e.schema, checkpoint_path(spark, f"st01-ckpt-{run}"), f"st01_{run}", files_per_batch=-(-n // BATCHES))
 
 
 def q_stream_local_evidence(spark, sf):

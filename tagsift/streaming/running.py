@@ -16,14 +16,24 @@ from pyspark.sql import functions as F
 from tagsift.operators.evidence import local_evidence
 
 
+# The state has classes^2 rows; each part of it costs a task and files in every batch.
+STATE_PARTITIONS = 4
+
+
 def running_confusion(spark: SparkSession, source_dir: str, schema, checkpoint: str, query_name: str,
-                      label: str = "label", prediction: str = "prediction") -> DataFrame:
+                      label: str = "label", prediction: str = "prediction", files_per_batch: int = 1) -> DataFrame:
     """ST-01: confusion matrix updated batch by batch; returns the final state."""
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source_dir)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source_dir)
     agg = stream.groupBy(F.col(label).alias("label"), F.col(prediction).alias("prediction")) \
                 .agg(F.count(F.lit(1)).alias("n"))
-    q = (agg.writeStream.outputMode("complete").format("memory").queryName(query_name)
-         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(before), STATE_PARTITIONS)))     # a stream keeps the settings it starts with
+    try:
+        q = (agg.writeStream.outputMode("complete").format("memory").queryName(query_name)
+             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    finally:
+        spark.conf.set(key, before)
     q.awaitTermination()
     return spark.table(query_name)
 
