@@ -22,3 +22,40 @@ def test_dictionary_tags_shuffle_texts_only(spark):
     assert got == sorted([(1, 2, 11, -1, "hs"), (1, 14, 17, -2, "h"), (2, 0, 3, -2, "h"), (2, 4, 7, -2, "h"), (None, 6, 9, -2, "h")], key=str)
     runs = sorted(tuple(r) for r in word_runs(docs.where("doc_id = 1"), pattern="[a-z]+").collect())
     assert runs == [(1, 1, 3, 5, "eat"), (1, 2, 7, 11, "shock"), (1, 3, 14, 17, "heat")]
+
+
+def test_contexts_shuffle_tags_and_texts_once(spark):
+    from tagsift.operators.context import contexts
+    docs = spark.createDataFrame([(1, "one  two-x\tthree. four"), (2, "no tags"), (3, "a b"), (3, "a b")], "doc_id long, text string")
+    tags = spark.createDataFrame([(1, 5, 7, -1, "x"), (1, 5, 7, -1, "y"), (1, 12, 15, -2, "z"), (3, 0, 0, -1, "x")],
+                                 "doc_id long, start int, stop int, type int, identifier string")
+    out = contexts(docs, tags, words=1)
+    assert [e.split(",")[0] for e in exchanges(out)] == ["hashpartitioning(doc_id"] * 2
+    got = sorted(tuple(r)[:2] + tuple(r)[3:] for r in out.collect())
+    assert got == [(1, "1", "t", "hree", ". four"), (1, "2,3", "one", "two", "-x"),
+                   (3, "1,2", "DOCSTART", "a", "a"), (3, "1,2", "DOCSTART", "a", "a")]
+
+
+def test_running_sums_and_numbers_below(spark):
+    from pyspark.sql import functions as F
+
+    from tagsift.functions.text import numbers_below, running_sums
+    df = spark.createDataFrame([([3, 1, 2], [0, 3, 4, 9]), ([], [5]), (None, None)], "v array<int>, x array<int>")
+    got = [tuple(r) for r in df.select(running_sums("v"), numbers_below(running_sums("v"), F.col("x"))).collect()]
+    assert got == [([3, 4, 6], [0, 0, 1, 3]), ([], [0]), (None, None)]
+
+
+def test_running_confusion_states_and_batches_are_bounded(spark, tmp_path):
+    from tagsift.streaming import running
+    src, n = str(tmp_path / "src"), spark.conf.get("spark.sql.shuffle.partitions")
+    rows = spark.createDataFrame([(i % 3, i % 2) for i in range(60)], "label int, prediction int")
+    rows.repartition(10).write.parquet(src)
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        out = running.running_confusion(spark, src, rows.schema, str(tmp_path / "ckpt"), "confusion_bounded", files_per_batch=4)
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "16"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+    assert sorted(tuple(r) for r in out.collect()) == [(a, b, 10) for a in range(3) for b in range(2)]
+    assert len([p for p in (tmp_path / "ckpt" / "offsets").iterdir() if p.name.isdigit()]) == 3
+    assert len([p for p in (tmp_path / "ckpt" / "state" / "0").iterdir() if p.name.isdigit()]) == running.STATE_PARTITIONS
