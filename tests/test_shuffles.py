@@ -59,3 +59,17 @@ def test_running_confusion_states_and_batches_are_bounded(spark, tmp_path):
     assert sorted(tuple(r) for r in out.collect()) == [(a, b, 10) for a in range(3) for b in range(2)]
     assert len([p for p in (tmp_path / "ckpt" / "offsets").iterdir() if p.name.isdigit()]) == 3
     assert len([p for p in (tmp_path / "ckpt" / "state" / "0").iterdir() if p.name.isdigit()]) == running.STATE_PARTITIONS
+
+
+def test_landed_folders_have_bounded_parts_in_order(spark, tmp_path):
+    from tagsift.plans.textio import _landed
+    from tagsift.sources.lines import numbered_lines
+    rows = spark.range(100).selectExpr("id % 3 AS file", "id AS n", "concat('l', id) AS value")
+    want = sorted(((i % 3, i) for i in range(100)))
+    for back in (False, True):
+        path = str(tmp_path / f"lines-{back}")
+        _landed(rows, path, 3, part_rows=10, backwards=back)
+        assert max(sum(1 for _ in open(p)) for p in (tmp_path / f"lines-{back}").rglob("part-*")) < 40
+        assert len(list((tmp_path / f"lines-{back}").rglob("part-*"))) > 6
+        got = [int(r["line"][1:]) for r in numbered_lines(spark, path, descending=back).orderBy("place").collect()]
+        assert got == [i for _, i in sorted(want, key=lambda x: (-x[0] if back else x[0], x[1]))]
