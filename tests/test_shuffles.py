@@ -73,3 +73,18 @@ def test_landed_folders_have_bounded_parts_in_order(spark, tmp_path):
         assert len(list((tmp_path / f"lines-{back}").rglob("part-*"))) > 6
         got = [int(r["line"][1:]) for r in numbered_lines(spark, path, descending=back).orderBy("place").collect()]
         assert got == [i for _, i in sorted(want, key=lambda x: (-x[0] if back else x[0], x[1]))]
+
+
+def test_pretrain_instances_shuffle_their_tokens_once(spark):
+    from tagsift.operators.pretrain import INSTANCE, instances
+    docs = spark.createDataFrame([(1, "One two. Three four! Five six seven? Eight."), (2, "a b c d e f g\nh i"), (2, "a b c d e f g\nh i"), (3, "")],
+                                 "doc_id long, text string")
+    words = spark.createDataFrame([("a", 0), ("b", 1)], "token string, word_no long")
+    out = instances(docs, words, max_seq_length=16, dupe_factor=2)
+    own = [e for e in exchanges(out) if e.startswith("hashpartitioning(" + ", ".join(INSTANCE))]
+    # The plan and the sentences, once for the instances and once (the same shuffle) for the drawn places; the drawn words.
+    assert len(own) <= 5
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list(struct(side" in plan and "tokens, tokens" not in plan
+    rows = out.collect()
+    assert rows and all(r["tokens"][0] == "[CLS]" and "" not in r["tokens"] and r["tokens"].count("[SEP]") == 2 for r in rows)
