@@ -124,16 +124,24 @@ def merge_lists(curated: DataFrame, auto: DataFrame, keys: Sequence[str]) -> Dat
         F.max_by("flag", F.struct(F.col("_prio"), F.when(F.col("flag") == ALLOW, 1).otherwise(0))).alias("flag"))
 
 
-def apply_lists(mentions: DataFrame, global_rows: DataFrame, local_rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def apply_lists(mentions: DataFrame, global_rows: DataFrame, local_rows: DataFrame, variants: Sequence[str] = ()) -> DataFrame:
     """JN-13: drop mentions whose name is blocked; a local (name, doc) row overrides the global one.
 
     ``global_rows``: name, flag; ``local_rows``: name, doc_id, flag (t = block,
     f = allow).  Both lists are deduplicated to one decision per key first (an
     allow beats a block on a clash), so the joins cannot multiply mentions.
-    ``by``: further columns that all three share (for example a list variant).
+    ``variants``: list variants to apply side by side; both lists then have a column ``variant``, and a mention comes
+    once per variant that it survives.  It meets the lists once, whose rows carry the decisions of all variants.
     """
+    by = ["variant"] if variants else []
     g = global_rows.groupBy(*by, "name").agg(F.min(F.col("flag") == BLOCK).alias("g_block"))
     loc = local_rows.groupBy(*by, "name", "doc_id").agg(F.min(F.col("flag") == BLOCK).alias("l_block"))
-    j = mentions.join(g, [*by, "name"], "left").join(loc, [*by, "name", "doc_id"], "left")
-    return j.where(~F.coalesce(F.col("l_block"), F.col("g_block"), F.lit(False))) \
-            .drop("g_block", "l_block")
+    if variants:
+        every = lambda rows, block, *keys: rows.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("variant", block))).alias(block))
+        g, loc = every(g, "g_block", "name"), every(loc, "l_block", "name", "doc_id")
+    j = mentions.join(g, "name", "left").join(loc, ["name", "doc_id"], "left")
+    l_block, g_block = F.col("l_block"), F.col("g_block")
+    if variants:
+        j = j.select(F.explode(F.array(*[F.lit(v) for v in variants])).alias("variant"), "*")
+        l_block, g_block = (F.try_element_at(c, F.col("variant")) for c in (l_block, g_block))
+    return j.where(~F.coalesce(l_block, g_block, F.lit(False))).drop("g_block", "l_block")
